@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -45,18 +46,21 @@ def csv_scan_encoding(spark: SparkSession, path: str, schema) -> DataFrame:
     lines = spark.read.text(path)
     bad = (lines.filter(~F.is_valid_utf8(F.col("value"))).select(F.col("_metadata.file_path").alias("f"))
            .distinct().collect())
-    latin = {r.f for r in bad}
-    if not latin:
+    if not bad:
         return csv_scan(spark, path, schema)
-    from urllib.parse import unquote
-    plain = {unquote(f.removeprefix("file:")).replace("//", "/") for f in latin}
-    files = lines.inputFiles()
-    named = [(f, unquote(f.removeprefix("file:")).replace("//", "/") in plain) for f in files]
-    utf8, other = [f for f, b in named if not b], [f for f, b in named if b]
-    out = csv_scan(spark, other, schema, "ISO-8859-1")
+    latin = {_location(r.f) for r in bad}
+    files = [_location(f) for f in lines.inputFiles()]
+    out = csv_scan(spark, [f for f in files if f in latin], schema, "ISO-8859-1")
+    utf8 = [f for f in files if f not in latin]
     return csv_scan(spark, utf8, schema).unionByName(out) if utf8 else out
 
 
+def _location(uri: str) -> str:
+    """One spelling of a file name: sources differ in slashes and escapes."""
+    u = urlsplit(uri)
+    return f"{u.scheme}://{u.netloc}{unquote(u.path)}" if u.scheme else uri
+
+
 def csv_scan_raw(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV as text columns with trimmed names."""
     return trim_headers(spark.read.csv(path, header=True))
