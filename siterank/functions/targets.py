@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siterank.constants import DEFAULT_TEMP_MIN, QUANTILE_EDGE
 from siterank.functions.numbers import bounded
@@ -76,17 +76,23 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, F.lit(1.0) - tail).otherwise(tail)
 
 
-def normal_ppf(u: Column) -> Column:
-    """Standard normal quantile, clipped where u is within 1e-7 of 0 or 1."""
-    edge = F.lit(QUANTILE_EDGE)
-    p = F.least(F.greatest(u, edge), F.lit(1.0) - edge)
-    q = p - 0.5
-    r = q * q
-    mid = _polynomial(r, _PPF_A) * q / _polynomial(r, _PPF_B)
+def with_normal_ppf(df: DataFrame, share: str, out: str) -> DataFrame:
+    """Add the standard normal quantile of column ``share``.
+
+    Shares within 1e-7 of 0 or 1 are clipped. Built in steps, so that each intermediate
+    value is computed once.
+    """
+    df = df.withColumn("_p", F.least(F.greatest(F.col(share), F.lit(QUANTILE_EDGE)), F.lit(1.0 - QUANTILE_EDGE)))
+    p = F.col("_p")
     near = F.least(p, F.lit(1.0) - p)
-    t = F.sqrt(F.log(near) * -2.0)
+    df = df.withColumns({"_q": p - 0.5, "_t": F.sqrt(F.log(near) * -2.0)})
+    q, t = F.col("_q"), F.col("_t")
+    mid = _polynomial(q * q, _PPF_A) * q / _polynomial(q * q, _PPF_B)
     tail = _polynomial(t, _PPF_C) / _polynomial(t, _PPF_D)
-    z = F.when(near >= _PPF_LOW, mid).when(p < 0.5, tail).otherwise(-tail)
+    df = df.withColumn("_z", F.when(near >= _PPF_LOW, mid).when(p < 0.5, tail).otherwise(-tail))
+    z = F.col("_z")
     # one Halley step brings the 1e-9 estimate to rounding error
-    err = (normal_cdf(z) - p) * math.sqrt(2 * math.pi) * F.exp(z * z / 2.0)
-    return F.when(u.isNotNull(), z - err / (z * err / 2.0 + 1.0))
+    df = df.withColumn("_e", (normal_cdf(z) - p) * math.sqrt(2 * math.pi) * F.exp(z * z / 2.0))
+    e = F.col("_e")
+    return df.withColumn(out, F.when(F.col(share).isNotNull(), z - e / (z * e / 2.0 + 1.0))).drop(
+        "_p", "_q", "_t", "_z", "_e")

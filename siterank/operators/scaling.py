@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siterank.constants import QUANTILE_EDGE
-from siterank.functions.targets import normal_cdf, normal_ppf
+from siterank.functions.targets import normal_cdf, with_normal_ppf
 from siterank.operators.ordering import attach
 from siterank.operators.quantiles import quantile_grid
 
@@ -97,7 +98,7 @@ class QuantileMap:
     def uniform(self, df: DataFrame, column: str, out: str) -> DataFrame:
         """Add the interpolated share in [0, 1]; a tied grid value maps to its middle share."""
         values, lo, hi = self._steps()
-        g, first, last = (F.array(*(F.lit(x) for x in xs)) for xs in (values, lo, hi))
+        g, first, last = (F.lit(np.array(xs)) for xs in (values, lo, hi))
         k, x = F.col("_k"), F.col(column)
         here, there = F.get(g, k), F.get(g, k + 1)
         between = F.get(last, k) + (x - here) / (there - here) * (F.get(first, k + 1) - F.get(last, k))
@@ -107,17 +108,18 @@ class QuantileMap:
 
     def normal(self, df: DataFrame, column: str, out: str) -> DataFrame:
         """Add the standard normal value of the share."""
-        return self.uniform(df, column, "_u").withColumn(out, normal_ppf(F.col("_u"))).drop("_u")
-
-    def inverse(self, z: Column) -> Column:
-        """Standard normal value back to the original unit."""
-        last = len(self.grid) - 1
-        g = F.array(*(F.lit(v) for v in self.grid))
-        u = normal_cdf(z)
-        i = F.least(F.floor(u * last), F.lit(last - 1)).cast("int")
+        return with_normal_ppf(self.uniform(df, column, "_u"), "_u", out).drop("_u")
+
+    def inverse(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """Add the original value of a standard normal column."""
+        last, g = len(self.grid) - 1, F.lit(np.array(self.grid))
+        u, i, z = F.col("_u"), F.col("_i"), F.col(column)
+        df = df.withColumn("_u", normal_cdf(z))
+        df = df.withColumn("_i", F.least(F.floor(u * last), F.lit(last - 1)).cast("int"))
         between = F.get(g, i) + (F.get(g, i + 1) - F.get(g, i)) * (u * last - i)
-        return F.when(z.isNull() | F.isnan(z), F.lit(None)).when(u - QUANTILE_EDGE < 0, self.grid[0]) \
-            .when(u + QUANTILE_EDGE > 1, self.grid[-1]).otherwise(between)
+        value = (F.when(z.isNull() | F.isnan(z), F.lit(None)).when(u - QUANTILE_EDGE < 0, self.grid[0])
+                 .when(u + QUANTILE_EDGE > 1, self.grid[-1]).otherwise(between))
+        return df.withColumn(out, value).drop("_u", "_i")
 
 
 def target_min(df: DataFrame, target: str) -> DataFrame:

@@ -181,7 +181,7 @@ def random_search(spark, sf):
         _, results = search(rows, ["site_id"], lambda s: GBTRegressor(maxIter=5, seed=42).setParams(**s), candidates, folds=2)
     finally:
         rows.unpersist()
-    return spark.createDataFrame([(i, s["maxDepth"], s["stepSize"], s["subsamplingRate"], m)
+    return spark.createDataFrame([(i, s["maxDepth"], s["stepSize"], s["subsamplingRate"], float(m))
                                   for i, (s, m) in enumerate(results)],
                                  "candidate long, max_depth int, step_size double, subsample double, mean_r2 double")
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siterank.functions.targets import log_inverse, log_target, shift_log_inverse, shift_log_target
 from siterank.operators.metrics import mae, mse, r2
@@ -65,14 +65,15 @@ class TargetTransform:
             return df.withColumn(out, shift_log_target(y, F.lit(self.lowest)))
         return df.withColumn(out, y)
 
-    def inverse(self, p: Column) -> Column:
+    def inverse(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        p = F.col(column)
         if self.kind == "quantile":
-            return self.quantiles.inverse(p)
+            return self.quantiles.inverse(df, column, out)
         if self.kind == "log":
-            return log_inverse(p, clip=False)
+            return df.withColumn(out, log_inverse(p, clip=False))
         if self.kind == "shift_log":
-            return shift_log_inverse(p, F.lit(self.lowest))
-        return p
+            return df.withColumn(out, shift_log_inverse(p, F.lit(self.lowest)))
+        return df.withColumn(out, p)
 
 
 @dataclass(frozen=True)
@@ -83,8 +84,7 @@ class FittedProperty:
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         """Add the prediction in the original unit; the inverse is always applied."""
-        kept = df.columns
-        return self.model.transform(df).select(*kept, self.target.inverse(F.col("prediction")).alias(out))
+        return self.target.inverse(self.model.transform(df), "prediction", out).select(*df.columns, out)
 
 
 def prepare(spec: PropertySpec, df: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def fit_property(spec: PropertySpec, df: DataFrame) -> tuple[FittedProperty, Dat
     finally:
         train.unpersist()
     fitted = FittedProperty(spec, model, target)
-    scored = model.transform(target.forward(test, spec.target, "label")).select(
-        F.col(spec.target).alias("y"), "label", "prediction", target.inverse(F.col("prediction")).alias("p"))
+    scored = model.transform(target.forward(test, spec.target, "label"))
+    scored = target.inverse(scored.select(F.col(spec.target).alias("y"), "label", "prediction"), "prediction", "p")
     metrics = scored.agg(
         F.count(F.lit(1)).alias("n"), r2("y", "p").alias("r2"), mae("y", "p").alias("mae"),
         mse("y", "p").alias("mse"), r2("label", "prediction").alias("r2_transformed"),

@@ -138,9 +138,9 @@ i AS (SELECT site_id, u, CAST(least(floor(u*49E0), 48E0) AS BIGINT) AS i FROM u)
 SELECT site_id, {rs('CASE WHEN u - 1E-7 < 0 THEN g[1] WHEN u + 1E-7 > 1 THEN g[50] ELSE g[i+1] + (g[i+2] - g[i+1])*(u*49E0 - i) END', 5)} AS y
 FROM i, g""")
 def quantile_inverse(spark, sf):
-    rows = views.samples(spark, sf).select("site_id", "y_inertia")
     z = ((F.col("site_id") * 7919) % 1000) / 125.0 - 4.0
-    return rows.select("site_id", r(QuantileMap.fit(rows, "y_inertia", 50).inverse(z), 5).alias("y"))
+    rows = views.samples(spark, sf).select("site_id", "y_inertia", z.alias("z"))
+    return QuantileMap.fit(rows, "y_inertia", 50).inverse(rows, "z", "y").select("site_id", r("y", 5))
 
 
 @query("inverse_fallback", f"""WITH {SAMPLES}, p AS (SELECT site_id, z FROM samples)

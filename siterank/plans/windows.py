@@ -94,7 +94,7 @@ def early_stop(spark, sf):
 @query("early_stop_chunked", early_stop_sql(*EARLY_STOP["surface_temp"]))
 def early_stop_chunked(spark, sf):
     """The plan for curves too long for one row."""
-    return tuning.early_stop(views.trial_steps(spark, sf), *EARLY_STOP["surface_temp"], fold_epochs=8, chunk=4)
+    return tuning.early_stop(views.trial_steps(spark, sf), *EARLY_STOP["surface_temp"], fold_epochs=14, chunk=8)
 
 
 @query("best_epoch", f"""WITH {STEPS}
