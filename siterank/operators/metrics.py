@@ -38,7 +38,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     every = df.sparkSession.range(bins).select(
         F.col("id").alias("bin"), (F.col("id") * width + lo).alias("low"),
         ((F.col("id") + 1) * width + lo).alias("high"))
-    return every.join(counts, "bin", "left").na.fill(0, ["n"])
+    return every.join(F.broadcast(counts), "bin", "left").na.fill(0, ["n"])  # one row per bin
 
 
 def extent(df: DataFrame, columns: Sequence[str]) -> DataFrame:

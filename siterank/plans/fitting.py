@@ -19,7 +19,7 @@ from siterank.operators.regressors import (
 from siterank.operators.scaling import collect_stats, robust_scale, robust_stats
 from siterank.operators.splitting import train_test_split
 from siterank.plans.properties import SPECS, PropertySpec, fit_property as fit
-from siterank.plans.projections import SERVING
+from siterank.plans.projections import SERVING, ZEROS
 from siterank.plans.registry import SAMPLES, SITES, TRIALS, feature_sql, query, r, rs, score_sql
 from siterank.plans.serving import predict_sites as serve, rule_nets
 from siterank.sources import views
@@ -123,11 +123,11 @@ def mlp_score(spark, sf):
     return rows.select("site_id", *(r(F.col(f"_{p}")).alias(p) for p in PROPERTIES))
 
 
-@query("mlp_score_batched", f"WITH {SERVING} SELECT site_id, {rs(net_sql(NETS['slope'], feature_sql('slope', True)))} AS slope FROM filled")
+@query("mlp_score_batched", f"WITH {SERVING} SELECT site_id, {rs(net_sql(NETS["slope"], feature_sql("slope", True)), 4)} AS slope FROM filled")
 def mlp_score_batched(spark, sf):
     """The same forward pass in Arrow batches, as used for wide nets."""
     rows = clean.default_fill(views.sites(spark, sf)).withColumn("x", feature_vector("slope", scaled=True))
-    return score_net(rows, NETS["slope"], "x", "z", engine="batches").select("site_id", r(F.col("z")).alias("slope"))
+    return score_net(rows, NETS["slope"], "x", "z", engine="batches").select("site_id", r(F.col("z"), 4).alias("slope"))
 
 
 @query("param_grid", f"""WITH {TRIALS},
@@ -255,9 +255,8 @@ served AS (SELECT *, {score_sql()} AS landing_score FROM preds)"""
 
 BAND = "CASE WHEN landing_score < 30 THEN 'Poor' WHEN landing_score < 50 THEN 'Fair' WHEN landing_score < 70 THEN 'Good' ELSE 'Excellent' END AS band"
 OVERRIDDEN = SAMPLES + ", filled AS (SELECT * REPLACE (" + ", ".join(
-    f'coalesce("{c}", {d}::DOUBLE) AS "{c}"' for c, d in DEFAULTS.items()) + """),
-   CASE WHEN slope IS NULL THEN 6 ELSE 0 END AS n_defaulted FROM samples)"""
-OVERRIDDEN = OVERRIDDEN.replace("),\n   CASE", "), CASE")
+    f'coalesce("{c}", {d}::DOUBLE) AS "{c}"' for c, d in DEFAULTS.items()
+) + "), CASE WHEN slope IS NULL THEN 6 ELSE 0 END AS n_defaulted FROM samples)"
 
 
 @query("predict_sites", f"""WITH {OVERRIDDEN}, {served_sql('filled', 'y_temp', 'y_inertia')}
@@ -275,7 +274,7 @@ FULL_SQL = ", ".join(
     f"{net_sql(FULL_NETS[p], feature_sql(p, True, FEATURES_FULL, 'lat'))} AS z_{p}" for p in PROPERTIES)
 
 
-@query("predict_sites_full", f"""WITH {OVERRIDDEN}, {served_sql('filled', 'NULL', 'NULL', FULL_SQL)}
+@query("predict_sites_full", f"""WITH {ZEROS}, {served_sql('filled', 'NULL', 'NULL', FULL_SQL)}
 SELECT site_id, {', '.join(f'{rs(p)} AS {p}' for p in PROPERTIES)}, landing_score FROM served""")
 def predict_sites_full(spark, sf):
     """Serving with the second feature set and real latitude, no overrides: no shuffle after the sites."""

@@ -39,25 +39,25 @@ def doubles(df, columns=LAYER_KEYS):
 
 @query("sample_raster", f"WITH {SAMPLED} SELECT site_id, value FROM sampled WHERE layer = 'elevation'")
 def sample_raster(spark, sf):
-    out = raster.sample_layer(views.points(spark, sf), views.raster(spark, sf), "elevation")
+    out = raster.sample_layer(views.points(spark, sf), views.layers(spark, sf), "elevation")
     return out.select("site_id", F.col("value").cast("double").alias("value"))
 
 
 @query("coregister_layers", f"WITH {WIDE} SELECT * FROM wide")
 def coregister_layers(spark, sf):
-    return doubles(raster.coregister(views.points(spark, sf), views.raster(spark, sf)))
+    return doubles(raster.coregister(views.points(spark, sf), views.layers(spark, sf)))
 
 
 @query("coregister_layers_tiled", f"WITH {WIDE} SELECT * FROM wide")
 def coregister_layers_tiled(spark, sf):
     """The plan for rasters too large to broadcast."""
-    return doubles(raster.coregister(views.points(spark, sf), views.raster(spark, sf), broadcast_bytes=0))
+    return doubles(raster.coregister(views.points(spark, sf), views.layers(spark, sf), broadcast_bytes=0))
 
 
 @query("attach_layer_metadata", f"""WITH {SAMPLED}, {CATALOG}
 SELECT site_id, layer, value, name, unit, description FROM sampled JOIN catalog USING (layer)""")
 def attach_layer_metadata(spark, sf):
-    wide = doubles(raster.coregister(views.points(spark, sf), views.raster(spark, sf)))
+    wide = doubles(raster.coregister(views.points(spark, sf), views.layers(spark, sf)))
     out = raster.attach_metadata(raster.as_long(wide), readers.layer_catalog(spark))
     return out.select("site_id", "layer", "value", "name", "unit", "description")
 

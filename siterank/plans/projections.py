@@ -153,7 +153,7 @@ p AS (SELECT site_id, CAST(floor((lon + 180E0)/360E0*w) AS BIGINT) AS x,
              CAST(floor((90E0 - lat)/180E0*h) AS BIGINT) AS y, w, h FROM points, s)
 SELECT site_id, x, y, coalesce(x >= 0 AND x < w AND y >= 0 AND y < h, false) AS inside FROM p""")
 def bounds_filter(spark, sf):
-    size = layer_sizes(views.raster(spark, sf)).filter(F.col("layer") == "elevation").first()
+    size = layer_sizes(views.layers(spark, sf)).filter(F.col("layer") == "elevation").first()
     w, h = F.lit(size.width), F.lit(size.height)
     x, y = pixel_x(F.col("lon"), w), pixel_y(F.col("lat"), h)
     return views.points(spark, sf).select("site_id", x.alias("x"), y.alias("y"), inside(x, y, w, h).alias("inside"))

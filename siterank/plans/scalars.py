@@ -263,7 +263,7 @@ def xyz_to_latlon(spark, sf):
 @query("layer_key", f"""WITH {SAMPLED}, {CATALOG}
 SELECT name, layer AS field, count(*) AS n, count(value) AS found FROM sampled JOIN catalog USING (layer) GROUP BY ALL""")
 def layer_key_query(spark, sf):
-    wide = raster.coregister(views.points(spark, sf), views.raster(spark, sf))
+    wide = raster.coregister(views.points(spark, sf), views.layers(spark, sf))
     named = raster.attach_metadata(raster.as_long(wide), readers.layer_catalog(spark))
     return named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("found")).select(
         "name", layer_key(F.col("name")).alias("field"), "n", "found")
@@ -271,7 +271,7 @@ def layer_key_query(spark, sf):
 
 @query("layers_long_to_wide", f"WITH {WIDE} SELECT * FROM wide")
 def layers_long_to_wide(spark, sf):
-    wide = raster.coregister(views.points(spark, sf), views.raster(spark, sf))
+    wide = raster.coregister(views.points(spark, sf), views.layers(spark, sf))
     named = raster.attach_metadata(raster.as_long(wide), readers.layer_catalog(spark))
     return doubles(raster.long_to_wide(named))
 
@@ -280,7 +280,7 @@ def layers_long_to_wide(spark, sf):
     f"'{n}: ' || CASE WHEN \"{k}\" IS NULL THEN 'N/A' ELSE printf('%.2f', \"{k}\") || ' {u}' END"
     for k, n, _, u, _ in LAYERS) + " AS report FROM wide")
 def format_report(spark, sf):
-    return raster.report(raster.coregister(views.points(spark, sf), views.raster(spark, sf)))
+    return raster.report(raster.coregister(views.points(spark, sf), views.layers(spark, sf)))
 
 
 @query("percent_round", f"""WITH {PREDICTED}, a AS (SELECT avg(y) AS a FROM pred)

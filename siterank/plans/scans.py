@@ -11,8 +11,7 @@ from siterank.functions.scoring import site_score
 from siterank.operators.raster import layer_sizes
 from siterank.operators.regressors import model_pipeline
 from siterank.operators.scaling import robust_stats
-from siterank.plans.registry import (
-    RASTER, SAMPLES, SCORED_SQL, SITES, TRANSECT, TRIALS, properties, query, r, rs)
+from siterank.plans.registry import RASTER, SAMPLES, SCORED_SQL, SITES, TRANSECT, TRIALS, query, r, rs
 from siterank.session import new_path
 from siterank.sources import readers, sinks, views
 from siterank.sources.cache import LayerCache
@@ -47,17 +46,11 @@ def trim_headers(spark, sf):
     return raw.select("region", F.col("seq").cast("long").alias("seq"), F.col("elevation").cast("double").alias("elevation"))
 
 
-def stored_raster(spark, sf) -> str:
-    path = new_path(spark, "raster")
-    sinks.write_table(views.raster(spark, sf), path, partition_by=("layer",))
-    return path
-
-
 @query("raster_scan", f"""WITH {RASTER}
 SELECT layer, y, x, CAST(pixels[x+1] AS DOUBLE) AS value
 FROM raster, unnest(range(width)) AS p(x)""")
 def raster_scan(spark, sf):
-    rows = readers.raster_scan(spark, stored_raster(spark, sf))
+    rows = views.layers(spark, sf)
     return readers.raster_pixels(rows).select(
         "layer", "y", F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
 
@@ -71,7 +64,7 @@ catalog AS (SELECT * FROM (VALUES
   ('basalt', 'Basalt', ''), ('lambertAlbedo', 'Lambert Albedo', '')) AS c(layer, name, unit))
 SELECT layer, name, unit, width, height FROM catalog LEFT JOIN sizes USING (layer)""")
 def layer_catalog(spark, sf):
-    sizes = layer_sizes(views.raster(spark, sf))
+    sizes = layer_sizes(views.layers(spark, sf))
     return readers.layer_catalog(spark).join(sizes, "layer", "left").select("layer", "name", "unit", "width", "height")
 
 
@@ -79,7 +72,7 @@ def layer_catalog(spark, sf):
 px AS (SELECT layer, y, CAST(unnest(pixels) AS DOUBLE) AS v FROM raster WHERE layer IN ('elevation', 'slope'))
 SELECT layer, count(DISTINCT y) AS lines, count(*) AS pixels, {rs('avg(v)')} AS mean FROM px GROUP BY layer""")
 def layer_cache(spark, sf):
-    cache = LayerCache(spark, stored_raster(spark, sf))
+    cache = LayerCache(spark, views.stored_raster(spark, sf))
     both = cache.load("elevation").unionByName(cache.load("slope"))
     lines = both.groupBy("layer").agg(F.count(F.lit(1)).alias("lines"))
     pixels = readers.raster_pixels(cache.load("elevation").unionByName(cache.load("slope"))).groupBy("layer").agg(

@@ -18,10 +18,10 @@ def predict_properties(df: DataFrame, nets: Mapping[str, Net], full: bool = Fals
     """Add the five predicted properties as ``<property>_nn``; narrow, one pass over the rows.
 
     Expects the record fields. Nets see statically scaled features and their outputs are
-    inverted to physical units.
+    inverted to physical units. The ``full`` feature set has 0 for every missing field.
     """
     kept = df.columns
-    out = default_fill(df)
+    out = default_fill(df, zero=full)
     vectors = {f"_x_{p}": feature_vector(p, scaled=True, full=full, latitude=F.col("lat")) for p in PROPERTIES}
     out = out.withColumns(vectors)
     for p in PROPERTIES:

@@ -44,4 +44,4 @@ def stream_sample_layers(spark, sf):
     """Sample all layers for a stream of clicks."""
     source, target = new_path(spark, "clicks"), new_path(spark, "sampled")
     views.points(spark, sf).repartition(4).write.parquet(source)
-    return doubles(spark.read.parquet(sample_stream(spark, source, views.raster(spark, sf), target, files_per_batch=2)))
+    return doubles(spark.read.parquet(sample_stream(spark, source, views.layers(spark, sf), target, files_per_batch=2)))

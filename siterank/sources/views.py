@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siterank.constants import LAYER_KEYS, RECORD_FIELDS
 from siterank.operators.ordering import with_position
+from siterank.session import new_path
+from siterank.sources.readers import raster_scan
+from siterank.sources.sinks import write_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,18 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
         "height", F.col("embedding").alias("pixels"))
 
 
+def stored_raster(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the scanlines as a table partitioned by layer, as layers are kept in practice."""
+    path = new_path(spark, "raster")
+    write_table(raster(spark, sf_dir), path, partition_by=("layer",))
+    return path
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored scanlines; filters on layer prune partitions."""
+    return raster_scan(spark, stored_raster(spark, sf_dir))
+
+
 def transect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elevation along tracks: (region, seq, elevation)."""
     rows = table(spark, sf_dir, "events").select(
