@@ -62,13 +62,21 @@ def nonfinite_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def route(df: DataFrame, ready: Column | bool = True) -> DataFrame:
     """Add status and error to decoded requests (see ``sources.readers.decode_requests``)."""
     ready = F.lit(ready) if isinstance(ready, bool) else ready
-    status = (F.when(~ready, 503).when(F.col("_corrupt").isNotNull(), 400)
-              .when(F.col("body").isNull() | (F.trim("body") == "null"), 400).otherwise(200))
-    error = (
-        F.when(~ready, "Models are still loading. Please try again in a moment.")
-        .when(F.col("_corrupt").isNotNull(), "Request must be JSON")
-        .when(F.col("body").isNull() | (F.trim("body") == "null"), "Invalid JSON in request body"))
-    return df.withColumn("status", status.cast("long")).withColumn("error", error)
+    empty = F.col("body").isNull() | (F.trim("body") == "null")
+    broken = F.col("_corrupt").isNotNull()
+    # JSON, but not a record of numbers; the parser alone would accept text after a value
+    closed = F.col("body").rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$")
+    unusable = broken & closed & F.try_parse_json("body").isNotNull()
+    cases = (
+        (~ready, 503, "Models are still loading. Please try again in a moment."),
+        (empty, 400, "Invalid JSON in request body"),
+        (unusable, 500, "Record could not be read"),
+        (broken, 400, "Request must be JSON"),
+    )
+    status, error = F, F
+    for test, code, text in cases:
+        status, error = status.when(test, code), error.when(test, text)
+    return df.withColumn("status", status.otherwise(200).cast("long")).withColumn("error", error)
 
 
 def fallback_predictions(df: DataFrame, neural: Mapping[str, str], regression: Mapping[str, str]) -> DataFrame:

@@ -85,7 +85,10 @@ def decode_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add the record fields of JSON text and ``_corrupt`` (the text, where it is not a record)."""
     schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return df.select("*", parsed.alias("_r")).select(*df.columns, "_r.*")
+    out = df.select("*", parsed.alias("_r")).select(*df.columns, "_r.*")
+    # the parser stops after the first value, so text behind it is tested here
+    trailing = F.col(body).isNotNull() & ~F.col(body).rlike(r"\}\s*$")
+    return out.withColumn("_corrupt", F.when(trailing, F.col(body)).otherwise(F.col("_corrupt")))
 
 
 def trial_scan(spark: SparkSession, path: str) -> DataFrame:
