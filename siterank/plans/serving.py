@@ -11,7 +11,7 @@ from siterank.functions.features import feature_vector
 from siterank.functions.scoring import band_ui, clamp, site_score
 from siterank.functions.targets import fallback_inverse
 from siterank.operators.clean import default_fill
-from siterank.operators.dense_net import Net, score_net
+from siterank.operators.dense_net import Net, net_column
 
 
 def predict_properties(df: DataFrame, nets: Mapping[str, Net], full: bool = False) -> DataFrame:
@@ -24,8 +24,7 @@ def predict_properties(df: DataFrame, nets: Mapping[str, Net], full: bool = Fals
     out = default_fill(df, zero=full)
     vectors = {f"_x_{p}": feature_vector(p, scaled=True, full=full, latitude=F.col("lat")) for p in PROPERTIES}
     out = out.withColumns(vectors)
-    for p in PROPERTIES:
-        out = score_net(out, nets[p], f"_x_{p}", f"_z_{p}")
+    out = out.withColumns({f"_z_{p}": net_column(nets[p], f"_x_{p}") for p in PROPERTIES})
     inverted = [fallback_inverse(p, F.col(f"_z_{p}")).alias(f"{p}_nn") for p in PROPERTIES]
     return out.select(*kept, "n_defaulted", *inverted)
 

@@ -29,8 +29,8 @@ UNION ALL SELECT doc_id, 'document', 400, NULL, NULL FROM documents WHERE NOT js
 def stream_score(spark, sf):
     """Score a request stream; good and bad records land in two sinks."""
     source, target = new_path(spark, "requests"), new_path(spark, "responses")
-    views.requests(spark, sf).repartition(4).write.parquet(source)
-    scored, bad = score_stream(spark, source, NETS, target, files_per_batch=2)
+    views.requests(spark, sf).repartition(16).write.parquet(source)
+    scored, bad = score_stream(spark, source, NETS, target, files_per_batch=8)
     good = spark.read.parquet(scored).select(
         "request_id", "source", F.lit(200).cast("long").alias("status"), "landing_score", r("slope"))
     rest = spark.read.parquet(bad).select(

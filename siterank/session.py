@@ -23,6 +23,12 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # methods above the JIT's size limit would run interpreted; Spark then splits them
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # small test tables: shuffle joins keep all cores busy where a broadcast keeps one
+        .config("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+        # no call-site capture for each column expression: plans build faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

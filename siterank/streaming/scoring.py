@@ -17,14 +17,23 @@ REQUEST_SCHEMA = "request_id long, source string, body string"
 CLICK_SCHEMA = "site_id long, lat double, lon double"
 
 
-def score_requests(requests: DataFrame, nets: Mapping[str, Net]) -> tuple[DataFrame, DataFrame]:
-    """(scored, quarantine) of request rows; the same plan for batches and tables."""
-    routed = route(decode_requests(requests))
+def route_requests(requests: DataFrame) -> DataFrame:
+    """Decoded requests with status and error."""
+    return route(decode_requests(requests))
+
+
+def score_routed(routed: DataFrame, nets: Mapping[str, Net]) -> tuple[DataFrame, DataFrame]:
+    """(scored, quarantine) of routed requests."""
     good = routed.filter("status = 200").drop("_corrupt", "status", "error", "body")
     bad = routed.filter("status <> 200").select("request_id", "source", "status", "error")
     return predict_sites(good, nets, key="request_id"), bad
 
 
+def score_requests(requests: DataFrame, nets: Mapping[str, Net]) -> tuple[DataFrame, DataFrame]:
+    """(scored, quarantine) of request rows; the same plan for batches and tables."""
+    return score_routed(route_requests(requests), nets)
+
+
 def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
@@ -41,11 +50,13 @@ def stream_score(spark: SparkSession, source: str, nets: Mapping[str, Net], targ
               .parquet(source))
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        scored, bad = score_requests(batch, nets)
-        scored.write.mode("overwrite").parquet(f"{target}/scored/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={number}")
-        batch.unpersist()
+        routed = route_requests(batch).persist()  # parsed once for both sinks
+        try:
+            scored, bad = score_routed(routed, nets)
+            scored.write.mode("overwrite").parquet(f"{target}/scored/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={number}")
+        finally:
+            routed.unpersist()
 
     _run(stream, handle, f"{target}/_progress")
     return f"{target}/scored", f"{target}/quarantine"
