@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from siterank.constants import DEFAULTS, FEATURES_FULL, PROPERTIES
 from siterank.functions.features import feature_vector
-from siterank.functions.numbers import half_up
 from siterank.operators import clean, metrics, tuning
 from siterank.operators.dense_net import Net, fit_net, score_net
 from siterank.operators.regressors import (
@@ -20,7 +19,7 @@ from siterank.operators.scaling import collect_stats, robust_scale, robust_stats
 from siterank.operators.splitting import train_test_split
 from siterank.plans.properties import SPECS, PropertySpec, fit_property as fit
 from siterank.plans.projections import SERVING, ZEROS
-from siterank.plans.registry import SAMPLES, SITES, TRIALS, feature_sql, query, r, rs, score_sql
+from siterank.plans.registry import SAMPLES, TRIALS, feature_sql, query, r, rs, score_sql
 from siterank.plans.serving import predict_sites as serve, rule_nets
 from siterank.sources import views
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siterank.constants import DEFAULTS, PROPERTIES
+from siterank.constants import DEFAULTS
 from siterank.plans.fitting import NETS, served_sql
 from siterank.plans.joins import WIDE, doubles
 from siterank.plans.registry import SITES, query, r, rs
