@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siterank.llm.jaccard_join import jaccard_components
+from siterank.llm.mixing import mix_sources
 from siterank.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,3 +28,35 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id
 @query("op5_jaccard_join", JACCARD_SQL)
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+MIX_SQL = r"""
+WITH z AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS key
+  FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY 1),
+s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS src FROM s0),
+s2 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(src - 1) % 3 + 1] AS weight, 3*source_size AS cap FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w1, 0))::DOUBLE / sum(weight) OVER w2 AS lv FROM s2
+       WINDOW w1 AS (ORDER BY cap/weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+              w2 AS (ORDER BY cap/weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS MATERIALIZED (
+  SELECT source, src, source_size, least(cap::DOUBLE, max(lv) OVER () * weight) AS target, ceil(source_size/128.0::DOUBLE)::BIGINT AS nb FROM s3),
+n AS (SELECT *, least(floor(nb*target/source_size + 0.5)::BIGINT, 3*nb) AS ns FROM s WHERE source_size > 0),
+slot AS (SELECT src, nb, unnest(range(ns)) AS slot FROM n),
+drawn AS (
+  SELECT src, (([2147483647, 2147483629, 2147483587][(slot // nb) % 3 + 1] % nb) * (slot % nb)
+               + ('0x' || md5('0|turn|' || src || '|' || (slot // nb))[1:8])::BIGINT % nb) % nb AS block FROM slot),
+t AS MATERIALIZED (SELECT src, block, count(*) AS times FROM drawn GROUP BY 1, 2),
+p AS MATERIALIZED (
+  SELECT z.*, s.src, s.source_size, s.target,
+         coalesce(sum(size) OVER (PARTITION BY s.src ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
+b AS (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0),
+k AS (SELECT b.doc_id, sum((least(start + size, (b.block + 1)*128) - greatest(start, b.block*128)) * times)::BIGINT AS taken
+      FROM b JOIN t ON t.src = b.src AND t.block = b.block GROUP BY 1)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(k.taken, 0)::BIGINT AS taken FROM p LEFT JOIN k USING (doc_id)"""
+
+
+@query("op10_mix_sources", MIX_SQL)
+def op10_mix_sources(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
