@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from siterank.llm.jaccard_join import jaccard_components
+from siterank.llm import langid
+from siterank.llm.common import fold
 from siterank.llm.mixing import mix_sources
 from siterank.llm.registry import ORACLES, QUERIES, query, table
 
@@ -60,3 +62,10 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(k.taken, 0)::BIGINT A
 @query("op10_mix_sources", MIX_SQL)
 def op10_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    models = langid.fit(langid.training_rows(docs))
+    return langid.identify(docs, models).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
