@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from siterank.llm.jaccard_join import jaccard_components
-from siterank.llm import langid
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from siterank.llm import bpe, langid
 from siterank.llm.common import fold
 from siterank.llm.mixing import mix_sources
 from siterank.llm.registry import ORACLES, QUERIES, query, table
@@ -69,3 +72,17 @@ def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(langid.training_rows(docs))
     return langid.identify(docs, models).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+def tokens(docs, id_cols=("doc_id",)):
+    """Digests of the encoded and decoded texts."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, id_cols)
+    digests = ids.withColumn("n_tokens", F.expr("cast(octet_length(ids) div 4 as bigint)")).withColumn("ids_sha256", F.sha2("ids", 256))
+    back = bpe.decode(digests, path, (*id_cols, "n_tokens", "ids_sha256"))
+    return back.select(*id_cols, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    return tokens(table(spark, sf_dir, "documents"))
