@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siterank.llm import bpe, langid
 from siterank.llm.common import fold
+from siterank.llm.line_dedup import dedup_lines
 from siterank.llm.mixing import mix_sources
 from siterank.llm.registry import ORACLES, QUERIES, query, table
 
@@ -86,3 +87,26 @@ def tokens(docs, id_cols=("doc_id",)):
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
     return tokens(table(spark, sf_dir, "documents"))
+
+LINES_SQL = r"""
+WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS MATERIALIZED (SELECT doc_id, unnest(range(len(ls))) AS number, unnest(ls) AS line FROM l0),
+f AS MATERIALIZED (SELECT line, min((doc_id, number)) AS place FROM l WHERE length(line) >= 20 GROUP BY 1),
+k AS MATERIALIZED (SELECT line, place, unnest([length(line), length(line) - 1]) AS m FROM f),
+h AS MATERIALIZED (
+  SELECT DISTINCT line, place, unnest([('a', m//2, line[:m//2]), ('b', m//2, CASE WHEN m//2 > 0 THEN line[-(m//2):] ELSE '' END)]) AS key FROM k),
+near AS (SELECT DISTINCT y.line FROM h x JOIN h y ON x.key = y.key
+         WHERE x.place < y.place AND abs(length(x.line) - length(y.line)) <= 1 AND levenshtein(x.line, y.line) <= 1),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY number) FILTER (NOT gone) AS text, count(*) AS n_lines
+  FROM (SELECT l.doc_id, l.number, l.line,
+               coalesce((l.doc_id, l.number) <> f.place OR near.line IS NOT NULL, false) AS gone
+        FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN near ON near.line = l.line) GROUP BY 1)
+SELECT d.doc_id, d.lang, d.source, d.n_chars, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+       coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed
+FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))
