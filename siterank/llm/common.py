@@ -30,7 +30,7 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def _marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``df`` with ``_hit``: whether ``key`` may occur in ``keys``, by a bitmap of fixed size.
 
     What is broadcast has a proven bound at any input size; a fuller bitmap only gives more false hits.
@@ -46,11 +46,11 @@ def _marked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Left semi join of wide rows: rows that cannot match are dropped before the shuffle."""
-    return _marked(df, keys, key).where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_semi")
+    return marked(df, keys, key).where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_semi")
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Left anti join of wide rows: only rows that may match are shuffled, the others pass as they are."""
-    marked = _marked(df, keys, key)
+    marked = marked(df, keys, key)
     return (marked.where("not _hit").drop("_hit")
             .unionByName(marked.where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_anti")))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-_SLICE = 4 << 20  # bytes handled at once, unless one text is longer
+_SLICE = 1 << 19  # bytes handled at once, unless one text is longer
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
