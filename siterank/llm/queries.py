@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siterank.llm.embedding_dedup import near_vectors
 from siterank.llm.jaccard_join import jaccard_components
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -110,3 +111,8 @@ FROM documents d LEFT JOIN kept USING (doc_id)"""
 @query("op7_line_dedup", LINES_SQL)
 def op7_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
