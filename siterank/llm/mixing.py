@@ -90,7 +90,8 @@ def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, max_passes: i
     shard = F.floor(_hash32(F.lit(str(seed)), F.lit("shard"), "src", "draw") * F.col("n_shards") / F.lit(2.0 ** 32))
     counts = draws.groupBy("src", "n_blocks", shard.alias("shard")).agg(F.count("*").alias("n"))
     first = F.coalesce(F.sum("n").over(W.partitionBy("src").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    slots = counts.withColumn("first", first).select(
+    # dealt by shard: by source alone, a large source's slots would be one task's
+    slots = counts.withColumn("first", first).repartition("src", "shard").select(
         "shard", "src", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     passed = F.floor(F.col("slot") / F.col("n_blocks"))
     prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.col("passed") % len(PRIMES) + 1).cast("int"))
