@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siterank.llm import bpe, langid
 from siterank.llm.common import fold
 from siterank.llm.line_dedup import dedup_lines
+from siterank.llm.minhash import edited_fingerprints
 from siterank.llm.mixing import mix_sources
 from siterank.llm.registry import ORACLES, QUERIES, query, table
 
@@ -116,3 +117,9 @@ def op7_line_dedup(spark, sf_dir):
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
