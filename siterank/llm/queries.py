@@ -7,7 +7,7 @@ from siterank.llm.jaccard_join import jaccard_components
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siterank.llm import bpe, langid
+from siterank.llm import bpe, langid, toxicity
 from siterank.llm.common import fold
 from siterank.llm.line_dedup import dedup_lines
 from siterank.llm.minhash import edited_fingerprints
@@ -123,3 +123,10 @@ def op9_embedding_dedup(spark, sf_dir):
 def op6_fingerprints(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, toxicity.training_labels(labels))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
