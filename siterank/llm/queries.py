@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from siterank.llm.embedding_dedup import near_vectors
+from siterank.llm.hidden_markov import fold_held_out, score_texts
 from siterank.llm.jaccard_join import jaccard_components
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from siterank.llm import bpe, langid, toxicity
 from siterank.llm.common import fold
+from siterank.llm.license_scan import TEMPLATES, scan_licenses
 from siterank.llm.line_dedup import dedup_lines
 from siterank.llm.minhash import edited_fingerprints
 from siterank.llm.mixing import mix_sources
@@ -130,3 +132,30 @@ def op2_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, toxicity.training_labels(labels))
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"), held_out=fold_held_out())
+
+
+TEMPLATES_SQL = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+SHINGLES_SQL = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
+LICENSE_SQL = rf"""
+WITH t0 AS (SELECT * FROM (VALUES {TEMPLATES_SQL}) AS v(template, license, text)),
+t AS (SELECT template, license, list_distinct({SHINGLES_SQL}) AS sh
+      FROM (SELECT *, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM t0) WHERE len(w) >= 5),
+tt AS MATERIALIZED (SELECT template, license, len(sh) AS n, (2 ** ceil(log2(len(sh))))::BIGINT AS span, unnest(sh) AS g FROM t),
+d AS (SELECT doc_id, unnest(range(len(w) - 4)) AS pos, unnest({SHINGLES_SQL}) AS g
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE len(w) >= 5),
+p AS MATERIALIZED (SELECT doc_id, pos, d.g, span FROM d JOIN (SELECT DISTINCT g, span FROM tt) u ON u.g = d.g),
+w AS MATERIALIZED (SELECT doc_id, pos, g, span, unnest(CASE WHEN pos >= span THEN [pos // span - 1, pos // span] ELSE [0] END) AS win FROM p),
+f AS (SELECT doc_id, span, win, min(pos) AS first FROM w GROUP BY ALL),
+m AS (SELECT doc_id, w.span, win, template, license, n, count(DISTINCT w.g) AS m FROM w JOIN tt ON tt.g = w.g AND tt.span = w.span GROUP BY ALL)
+SELECT m.doc_id, license, min(first)::BIGINT AS first_word, max(m / n) AS containment
+FROM m JOIN f ON f.doc_id = m.doc_id AND f.span = m.span AND f.win = m.win WHERE 100*m >= 75*n GROUP BY 1, 2"""
+
+
+@query("op8_license_scan", LICENSE_SQL)
+def op8_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
