@@ -51,6 +51,14 @@ def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Left anti join of wide rows: only rows that may match are shuffled, the others pass as they are."""
-    marked = marked(df, keys, key)
-    return (marked.where("not _hit").drop("_hit")
-            .unionByName(marked.where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_anti")))
+    found = marked(df, keys, key)
+    return (found.where("not _hit").drop("_hit")
+            .unionByName(found.where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_anti")))
+
+
+def looked_up(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Left join of many rows to a table that few of them meet: only rows that may match are shuffled."""
+    found = marked(df, small, key)
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name != key]
+    return (found.where("_hit").drop("_hit").join(small, key, "left")
+            .unionByName(found.where("not _hit").drop("_hit").select("*", *others)))
