@@ -246,26 +246,26 @@ def calibrated(models: Models, seen: list) -> Models:
     return models
 
 
-def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, lang_pred, score, entropy, rejected) of every row.
+def identify(docs: DataFrame, models: Models, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """(``keep``, lang_pred, score, entropy, rejected) of every row.
 
     A null or empty text, and one without a letter, is ``und`` with score 0 and rejected. Of equal entropies the first language by
-    name wins. Repeated ids keep their rows; other columns are ignored; without any fitted language all are ``und``.
+    name wins. Repeated ids keep their rows; columns outside ``keep`` are ignored; without any fitted language all are ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    names = [*keep, "lang_pred", "score", "entropy", "rejected"]
 
     def each(batches):
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.slice(a, 512)
-                out = [shared.value.predict(text.as_py()) for text in part.column(1)]
+                out = [shared.value.predict(text.as_py()) for text in part.column(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))],
-                    [id_col, "lang_pred", "score", "entropy", "rejected"])
+                    [*part.columns[:-1], *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], names)
 
-    kept = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    kind = kept.schema[id_col].dataType.simpleString()
-    return kept.mapInArrow(each, f"`{id_col}` {kind}, lang_pred string, score double, entropy double, rejected boolean")
+    kinds = "".join(f"`{c}` {kept.schema[c].dataType.simpleString()}, " for c in keep)
+    return kept.mapInArrow(each, f"{kinds}lang_pred string, score double, entropy double, rejected boolean")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

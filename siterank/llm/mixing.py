@@ -121,3 +121,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = placed.where("size > 0").join(taken.drop("id"), ["src", "start", "size"], "left")
     columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
     return some.select(*columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0)).select(*columns))
+
+
+def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **settings) -> DataFrame:
+    """``docs`` as the mix repeats them: whole documents, each as often as its words are taken.
+
+    A share of a document is rounded up or down by a hash of its id, so a source's words stay near its target on average. Documents
+    without words go. Rows that repeat an id are repeated alike.
+    """
+    mixed = mix_sources(docs, id_col, text_col, source_col, seed=seed, **settings).groupBy(F.col(id_col).alias("_id")).agg(
+        F.sum("size").alias("_size"), F.sum("taken").alias("_taken")).where("_taken > 0")
+    unit = _hash32(F.lit(str(seed)), F.lit("round"), F.col("_id").cast("string")) / F.lit(2.0 ** 32)
+    times = mixed.select("_id", F.floor(F.col("_taken") / F.col("_size") + unit).cast("int").alias("_times")).where("_times > 0")
+    return docs.join(times, docs[id_col] == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
