@@ -14,14 +14,15 @@ from __future__ import annotations
 import base64
 import sys
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-REMEMBERED = 1 << 17  # pieces kept by a task
-REMEMBERED_BYTES = 64  # longer ones are not kept
+REMEMBERED = 250_000  # pieces in each half of what a worker remembers, some 40 MB
+REMEMBERED_CHARS = 32  # longer ones are not kept
 _AT_ONCE = 1 << 16  # pieces of a text held at once
 NEVER = sys.maxsize
 
@@ -38,70 +39,70 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece."""
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
+    rank = ranks.get(piece)
+    if rank is not None:
+        return [rank]
+    n, known = len(piece), ranks.get
     size = 1 << (n - 1).bit_length()
-    bits = size.bit_length()
-    tree = [NEVER] * (2 * size)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # live neighbours; n: the end
-    ends = list(range(1, n + 1))
+    place = size - 1
+    tree = [NEVER] * (2 * size)  # tree[1] is the root, leaf i is tree[size + i]
     for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
+        rank = known(piece[i:i + 2])
         if rank is not None:
-            tree[size + i] = rank << bits | i
+            tree[size + i] = rank * size + i
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            a, b = tree[i], tree[i ^ 1]
-            i >>= 1
-            value = a if a < b else b
-            if tree[i] == value:
-                return
-            tree[i] = value
-
-    def pair(i: int) -> int:
-        j = after[i]
-        if j >= n:
-            return NEVER
-        rank = ranks.get(piece[i:ends[j]])
-        return NEVER if rank is None else rank << bits | i
-
+    ends = list(range(1, n + 1))  # of the token that begins at a live position; also where the next one begins
+    before = list(range(-1, n - 1))
     while tree[1] != NEVER:
-        i = tree[1] & (1 << bits) - 1
-        j = after[i]
-        ends[i], after[i] = ends[j], after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        if j < n - 1:
-            put(j, NEVER)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        i = tree[1] & place
+        j = ends[i]
+        end = ends[i] = ends[j]
+        if end < n:
+            before[end] = i
+            rank = known(piece[i:ends[end]])
+            changed = [(i, NEVER if rank is None else rank * size + i)]
+        else:
+            changed = [(i, NEVER)]
+        if tree[size + j] != NEVER:
+            changed.append((j, NEVER))
+        left = before[i]
+        if left >= 0:
+            rank = known(piece[left:end])
+            value = NEVER if rank is None else rank * size + left
+            if tree[size + left] != value:
+                changed.append((left, value))
+        for k, value in changed:
+            k += size
+            tree[k] = value
+            while k > 1:
+                k >>= 1
+                a, b = tree[2 * k], tree[2 * k + 1]
+                tree[k] = a if a < b else b
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:ends[i]]])
-        i = after[i]
+        i = ends[i]
     return out
 
 
 class Encoder(dict):
-    """Packed ids (little-endian unsigned 32-bit) of pieces, remembered up to a bound."""
+    """Packed ids (little-endian unsigned 32-bit) of pieces. When full, what it remembers becomes the older half, which is
+    asked before a piece is merged again, and the half before it is forgotten."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.older = ranks, regex.compile(pattern), {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8")
-        packed = np.array(merge(raw, self.ranks), "<u4").tobytes()
-        if len(raw) <= REMEMBERED_BYTES:
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = merge(piece.encode("utf-8"), self.ranks)
+            packed = pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -116,6 +117,15 @@ class Encoder(dict):
         return bytes(out)
 
 
+_LAST: list = []  # a worker's encoder, kept for the next task with the same vocabulary
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    if not _LAST or _LAST[0].pattern.pattern != pattern or _LAST[0].ranks != ranks:
+        _LAST[:] = [Encoder(ranks, pattern)]
+    return _LAST[0]
+
+
 def _mapped(df: DataFrame, id_cols: list[str], column: str, out: str, make) -> DataFrame:
     """``id_cols`` and the binary column ``out``, made from ``column`` by ``make()``'s function, value by value."""
     def each(batches):
@@ -140,7 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_cols: tuple[str, ...] =
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
 
     def make():
-        encoder = Encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, pattern)
         return lambda text: encoder.encode(text) if text else b""
 
     return _mapped(docs.withColumn("_text", F.col(text_col).cast("string")), list(id_cols), "_text", "ids", make)
