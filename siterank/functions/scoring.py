@@ -11,7 +11,8 @@ from siterank.functions.numbers import bounded, half_up
 
 
 def normalize(value: Column, low: float, high: float, invert: bool = False) -> Column:
-    """Place of ``value`` in [low, high], clipped to [0, 1]; ``invert`` flips it."""
+    """Place of ``value`` in [low, high], clipped to [0, 1]; ``invert`` flips it. Null and NaN give null."""
+    value = F.when(~F.isnan(value), value)
     share = bounded((value - low) / (high - low), 0.0, 1.0)
     return F.lit(1.0) - share if invert else share
 
@@ -39,7 +40,7 @@ def score_or_zeros(values: Mapping[str, Column]) -> Column:
     """Score where a site with any missing property counts as all zeros (scores 70)."""
     ok = F.lit(True)
     for p in PROPERTIES:
-        ok = ok & values[p].isNotNull()
+        ok = ok & values[p].isNotNull() & ~F.isnan(values[p])
     return site_score({p: F.when(ok, values[p]).otherwise(0.0) for p in PROPERTIES})
 
 

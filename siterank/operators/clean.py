@@ -59,14 +59,24 @@ def nonfinite_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                   any_of(lambda c: F.abs(c) == float("inf")).alias("any_inf"))
 
 
+def is_json(body: Column) -> Column:
+    """Whether the text is exactly one JSON value.
+
+    The parser stops after a first value, so the text must also parse inside an array and inside
+    an object: whatever closes the one early does not close the other.
+    """
+    inside = (F.concat(F.lit("["), body, F.lit("]")), F.concat(F.lit('{"r":'), body, F.lit("}")))
+    return F.try_parse_json(inside[0]).isNotNull() & F.try_parse_json(inside[1]).isNotNull()
+
+
 def route(df: DataFrame, ready: Column | bool = True) -> DataFrame:
     """Add status and error to decoded requests (see ``sources.readers.decode_requests``)."""
     ready = F.lit(ready) if isinstance(ready, bool) else ready
     empty = F.col("body").isNull() | (F.trim("body") == "null")
     broken = F.col("_corrupt").isNotNull()
-    # JSON, but not a record of numbers; the parser alone would accept text after a value
+    # JSON, but not a record of numbers
     closed = F.col("body").rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$")
-    unusable = broken & closed & F.try_parse_json("body").isNotNull()
+    unusable = broken & closed & is_json(F.col("body"))
     cases = (
         (~ready, 503, "Models are still loading. Please try again in a moment."),
         (empty, 400, "Invalid JSON in request body"),

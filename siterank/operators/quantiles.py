@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siterank.operators.ordering import attach, sorted_slices
 
-# Up to this many values (rows x columns) the built-in exact percentile is used: its
-# buffers hold every distinct value of a group in one task.
+# Up to this many values (rows x columns) a group's values are held as one sorted array.
 PERCENTILE_VALUES = 2_000_000
 
 
@@ -22,19 +21,23 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], points: int,
     data = df.select(*by, *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
                             for c in columns))
     if data.count() * len(columns) <= limit:
-        return _by_percentile(data, columns, points, by)
+        return _by_array(data, columns, points, by)
     return _by_sort(data, columns, points, by)
 
 
-def _by_percentile(data: DataFrame, columns, points, by) -> DataFrame:
-    ps = F.array(*(F.lit(i / (points - 1)) for i in range(points)))
-    grids = data.groupBy(*by).agg(*(F.percentile(F.col(c), ps).alias(c) for c in columns))
-    long = grids.unpivot([F.col(b) for b in by], [F.col(c) for c in columns], "feature", "_grid")
-    return (
-        long.select(*by, "feature", F.posexplode("_grid").alias("i", "value"))
-        .select(*by, "feature", F.col("i").cast("long").alias("i"),
-                (F.col("i") / (points - 1)).alias("p"), "value")
-    )
+def _by_array(data: DataFrame, columns, points, by) -> DataFrame:
+    """Each group's values as one sorted array; the same arithmetic as ``_by_sort``, to the bit."""
+    steps = points - 1
+    sorted_values = data.groupBy(*by).agg(*(F.sort_array(F.collect_list(F.col(c) + 0.0)).alias(c) for c in columns))  # -0.0 counts as 0.0
+    long = sorted_values.unpivot([F.col(b) for b in by], [F.col(c) for c in columns], "feature", "_v")
+    spread = long.select(*by, "feature", "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("i")) if points > 1 else long.select(
+        *by, "feature", "_v", F.lit(0).cast("long").alias("i"))
+    last = "(size(_v) - 1L)"
+    low = F.expr(f"get(_v, cast((i * {last}) div {max(steps, 1)} as int))")
+    high = F.expr(f"get(_v, cast((i * {last}) div {max(steps, 1)} + 1 as int))")
+    part = F.expr(f"(i * {last}) % {max(steps, 1)} / {max(steps, 1)}.0D")
+    return spread.select(*by, "feature", "i", (F.col("i") / max(steps, 1)).alias("p"),
+                         F.when(F.size("_v") == 0, None).when(part == 0, low).otherwise(low + (high - low) * part).alias("value"))
 
 
 def _by_sort(data: DataFrame, columns, points, by) -> DataFrame:

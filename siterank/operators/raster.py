@@ -16,6 +16,9 @@ from siterank.functions.geometry import inside, pixel_x, pixel_y
 from siterank.functions.layers import layer_key, report_value
 from siterank.session import BROADCAST_BYTES
 
+# Most distinct positions that are broadcast to the scanlines of a large raster: 11 small rows each.
+FEW_POINTS = 10_000
+
 # Width of the pieces scanlines are cut into before a shuffle join.
 TILE = 1024
 
@@ -47,8 +50,10 @@ def coregister(points: DataFrame, rasters: DataFrame | Stack, layers: Sequence[s
                key: str = "site_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Values of all ``layers`` at each point, wide; layers without a raster are null.
 
-    Rasters within ``broadcast_bytes`` go to every executor and no point is shuffled.
-    Larger ones are cut into tiles and hash-joined, and the result is pivoted back.
+    Every row of ``points`` gets the values at its own position, whatever its ``key``. Rasters
+    within ``broadcast_bytes`` go to every executor and no point is shuffled. For larger ones the
+    distinct positions are looked up: up to ``FEW_POINTS`` of them are sent to the scanlines,
+    which are filtered where they lie; more are joined with tiles by a shuffle.
     """
     stack = rasters if isinstance(rasters, Stack) else Stack.of(rasters, layers)
     present = [l for l in layers if l in stack.sizes]
@@ -58,7 +63,7 @@ def coregister(points: DataFrame, rasters: DataFrame | Stack, layers: Sequence[s
             out = _lookup_broadcast(out, stack.scanlines, layer, *stack.sizes[layer])
     else:
         tiled = stack.scanlines.filter(F.col("layer").isin(*present))
-        out = _lookup_tiles(points, tiled, present, stack.sizes, key)
+        out = _lookup_positions(points, tiled, present, stack.sizes)
     columns = [F.col(l) if l in present else F.lit(None).cast("float").alias(l) for l in layers]
     return out.select(*points.columns, *columns)
 
@@ -72,25 +77,36 @@ def _lookup_broadcast(points: DataFrame, scanlines: DataFrame, layer: str, width
         .withColumn(layer, F.get(F.col("_px"), x.cast("int"))).drop("_y", "_px"))
 
 
-def _lookup_tiles(points, scanlines, present, sizes, key) -> DataFrame:
-    """Shuffle join on (layer, y, tile); adaptive skew splitting divides crowded tiles."""
-    tiles = (
-        scanlines.select("layer", "y", "pixels",
-                         F.explode(F.sequence(F.lit(0), F.floor((F.size("pixels") - 1) / TILE).cast("int"))).alias("tile"))
-        .select("layer", "y", F.col("tile").cast("long").alias("tile"),
-                F.slice("pixels", F.col("tile") * TILE + 1, F.lit(TILE)).alias("_px")))
+def _lookup_positions(points, scanlines, present, sizes) -> DataFrame:
+    """Look up distinct positions and join the values back on the position; a null position has none."""
+    places = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
     specs = []
     for layer in present:
         w, h = (F.lit(v) for v in sizes[layer])
         x, y = pixel_x(F.col("lon"), w), pixel_y(F.col("lat"), h)
-        specs.append(F.when(inside(x, y, w, h), F.struct(
-            F.lit(layer).alias("layer"), y.alias("y"), F.floor(x / TILE).alias("tile"), (x % TILE).alias("x"))))
-    asked = points.select(key, F.explode(F.filter(F.array(*specs), lambda s: s.isNotNull())).alias("p"))
-    asked = asked.select(key, "p.*")
-    found = asked.join(tiles, ["layer", "y", "tile"]).select(
-        key, "layer", F.get("_px", F.col("x").cast("int")).alias("value"))
-    wide = found.groupBy(key).pivot("layer", present).agg(F.max("value"))
-    return points.join(wide, key, "left")
+        specs.append(F.when(inside(x, y, w, h), F.struct(F.lit(layer).alias("layer"), y.alias("y"), x.alias("x"))))
+    asked = places.select("lat", "lon", F.explode(F.filter(F.array(*specs), lambda s: s.isNotNull())).alias("p")).select("lat", "lon", "p.*")
+    few = not points.isStreaming and places.limit(FEW_POINTS + 1).count() <= FEW_POINTS
+    found = _read_few(asked, scanlines) if few else _read_tiles(asked, scanlines)
+    wide = found.groupBy("lat", "lon").pivot("layer", present).agg(F.max("value"))
+    return points.join(wide, ["lat", "lon"], "left")
+
+
+def _read_few(asked, scanlines) -> DataFrame:
+    """Scanlines meet the broadcast positions before anything is shuffled."""
+    return scanlines.select("layer", "y", "pixels").join(F.broadcast(asked), ["layer", "y"]).select(
+        "lat", "lon", "layer", F.get("pixels", F.col("x").cast("int")).alias("value"))
+
+
+def _read_tiles(asked, scanlines) -> DataFrame:
+    """Shuffle join on (layer, y, tile); adaptive skew splitting divides crowded tiles."""
+    last = F.floor((F.size("pixels") - 1) / TILE).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda t: F.slice("pixels", t * TILE + 1, F.lit(TILE)))
+    tiles = scanlines.where(F.size("pixels") > 0).select("layer", "y", F.posexplode(cut).alias("tile", "_px")).withColumn(
+        "tile", F.col("tile").cast("long"))
+    wanted = asked.withColumn("tile", F.floor(F.col("x") / TILE)).withColumn("x", F.col("x") % TILE)
+    return wanted.join(tiles, ["layer", "y", "tile"]).select(
+        "lat", "lon", "layer", F.get("_px", F.col("x").cast("int")).alias("value"))
 
 
 def sample_layer(points: DataFrame, rasters: DataFrame | Stack, layer: str, key: str = "site_id",

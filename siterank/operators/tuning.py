@@ -53,6 +53,17 @@ def param_sample(df: DataFrame, key: str, ranges: Mapping[str, object], seed: in
                             for name, fn in ranges.items()))
 
 
+def brackets(max_resource: int, factor: int = 3) -> list[list[tuple[int, int]]]:
+    """Successive-halving schedule: per bracket, largest first, a list of (trials, resource) rungs."""
+    top = 0
+    while factor ** (top + 1) <= max_resource:
+        top += 1
+    final = 1 + top + (factor ** top < max_resource)
+    ceil_div = lambda a, d: -(-a // d)
+    return [[(ceil_div(final * factor ** left, b + 1), ceil_div(max_resource, factor ** left))
+             for left in range(b, -1, -1)] for b in range(top, -1, -1)]
+
+
 # --- trial tables --------------------------------------------------------------------
 
 def explode_metrics(docs: DataFrame) -> DataFrame:
@@ -115,14 +126,16 @@ def best_epoch(steps: DataFrame) -> DataFrame:
         "trial_id", F.col("b.step").alias("best_step"), F.col("b.val_loss").alias("score"))
 
 
-def rung_promotion(trials: DataFrame, factor: int = 3) -> DataFrame:
-    """Add place in the rung and ``promoted``: the best 1/factor of each rung move on."""
+def rung_promotion(trials: DataFrame, max_resource: int = 25, factor: int = 3) -> DataFrame:
+    """Add place in the rung and ``promoted``: as many of the best as the schedule's next rung takes."""
+    plan = brackets(max_resource, factor)
+    sizes = {(b, r): rungs[r + 1][0] for b, rungs in zip(range(len(plan) - 1, -1, -1), plan) for r in range(len(rungs) - 1)}
     group = ["model", "bracket", "round"]
-    out = with_position(trials, ["score", "trial_id"], group, "_at", size="_rung")
-    keep = F.greatest(F.floor(F.col("_rung") / factor), F.lit(1))
-    last = F.col("round") >= F.col("bracket")
-    return out.withColumn("place", F.col("_at") + 1).withColumn(
-        "promoted", (F.col("_at") < keep) & ~last).drop("_at", "_rung")
+    out = with_position(trials, ["score", "trial_id"], group, "_at")
+    keep = F.lit(0)
+    for (b, r), size in sizes.items():
+        keep = F.when((F.col("bracket") == b) & (F.col("round") == r), size).otherwise(keep)
+    return out.withColumn("place", F.col("_at") + 1).withColumn("promoted", F.col("_at") < keep).drop("_at")
 
 
 def trial_duration(trials: DataFrame, run: str = "model") -> DataFrame:
@@ -141,8 +154,10 @@ def early_stop(steps: DataFrame, patience: int, min_delta: float, key: str = "tr
                fold_epochs: int = FOLD_EPOCHS, chunk: int | None = None) -> DataFrame:
     """(key, best_step, stop_step): where training ends for lack of progress.
 
-    Progress is a loss below the last accepted one by more than ``min_delta``;
-    ``stop_step`` is null when the curve ends first. ``step`` must be dense from 0.
+    Progress is a loss below the last accepted one by more than ``min_delta``; a null or NaN loss
+    is none, and before any is accepted each finite loss is progress over infinity, counted from
+    step -1. ``best_step`` is null when no loss was accepted, ``stop_step`` when the curve ends
+    first. ``step`` must be dense from 0.
     """
     sizes = steps.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     longest = sizes.agg(F.max("_n")).first()[0] or 0
@@ -158,19 +173,20 @@ def early_stop(steps: DataFrame, patience: int, min_delta: float, key: str = "tr
 
 def _stop_by_fold(steps, patience, min_delta, key) -> DataFrame:
     """Walk each short curve once; the curve is at most ``fold_epochs`` long."""
-    curve = F.array_sort(F.collect_list(F.struct("step", F.col("val_loss").alias("loss"))))
+    curve = F.array_sort(F.collect_list(F.struct("step", F.col("val_loss").cast("double").alias("loss"))))
     none = F.lit(None).cast("long")
-    start = F.struct(F.lit(None).cast("double").alias("best"), none.alias("at"), none.alias("stop"))
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(-1).cast("long").alias("at"), none.alias("stop"))
 
     def step(s, x):
-        gain = s.best.isNull() | (x.loss + min_delta < s.best)
+        gain = F.coalesce(~F.isnan(x.loss) & (x.loss + min_delta < s.best), F.lit(False))
         late = x.step - s["at"] >= patience
         moved = F.struct(x.loss.cast("double").alias("best"), x.step.cast("long").alias("at"), none.alias("stop"))
         ended = F.struct(s.best.alias("best"), s["at"].alias("at"), x.step.cast("long").alias("stop"))
         return F.when(s.stop.isNotNull(), s).when(gain, moved).when(late, ended).otherwise(s)
 
     done = steps.groupBy(key).agg(curve.alias("c")).select(key, F.aggregate("c", start, step).alias("s"))
-    return done.select(key, F.col("s.at").alias("best_step"), F.col("s.stop").alias("stop_step"))
+    best = F.when(F.col("s.at") >= 0, F.col("s.at"))
+    return done.select(key, best.alias("best_step"), F.col("s.stop").alias("stop_step"))
 
 
 def _stop_by_chunks(steps, patience, min_delta, key, width) -> DataFrame:
@@ -178,8 +194,12 @@ def _stop_by_chunks(steps, patience, min_delta, key, width) -> DataFrame:
 
     Each accepted epoch is followed by the next one within ``patience`` epochs or by a
     stop, so a chunk is a map from its first ``patience`` epochs to an epoch of the next
-    chunk or a stop. Maps are built in parallel, then chained per trial.
+    chunk or a stop. Maps are built in parallel, then chained per trial. Epochs are counted from
+    one here: epoch 0 is the start, with an infinite loss.
     """
+    epochs = steps.select(key, (F.col("step") + 1).alias("step"), F.col("val_loss").cast("double").alias("val_loss"), (F.col("_n") + 1).alias("_n"))
+    starts = steps.where("step = 0").select(key, F.lit(0).cast("long").alias("step"), F.lit(float("inf")).alias("val_loss"), (F.col("_n") + 1).alias("_n"))
+    steps = epochs.unionByName(starts)
     own = F.floor(F.col("step") / width)
     ahead = F.floor((F.col("step") - patience) / width)
     rows = steps.select(key, "step", F.col("val_loss").cast("double").alias("loss"), "_n",
@@ -196,28 +216,27 @@ def _stop_by_chunks(steps, patience, min_delta, key, width) -> DataFrame:
             if m > 0:
                 better = loss[d:d + m] + min_delta < loss[:m]
                 following[:m][better] = np.nonzero(better)[0] + d
-        best, stop, onward = np.full(n, -1), np.full(n, -1), np.full(n, -1)
-        for i in range(n - 1, -1, -1):
-            j = following[i]
-            if j < 0:
-                best[i] = first + i
-                stop[i] = first + i + patience if first + i + patience < total else -1
-            elif j >= n:
-                onward[i] = first + j
-            else:
-                best[i], stop[i], onward[i] = best[j], stop[j], onward[j]
+        # the last epoch reached within the chunk, by doubling the length of the jumps
+        ends = np.where((following >= 0) & (following < n), following, np.arange(n))
+        while (ends[ends] != ends).any():
+            ends = ends[ends]
+        leaves = following[ends] >= n
+        onward = np.where(leaves, first + following[ends], -1)
+        best = np.where(leaves, -1, first + ends)
+        stop = np.where(~leaves & (first + ends + patience < total), first + ends + patience, -1)
         m = 1 if chunk == 0 else min(patience, n)
         return pd.DataFrame({key: pdf[key].iloc[:m], "entry": first + np.arange(m), "best": best[:m],
                              "stop": stop[:m], "onward": onward[:m]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {e: (b, s, o) for e, b, s, o in zip(pdf["entry"], pdf["best"], pdf["stop"], pdf["onward"])}
-        at = 0
-        while table[at][2] >= 0:
-            at = table[at][2]
-        best, stop, _ = table[at]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "best_step": [best], "stop_step": [None if stop < 0 else stop]}
-                            ).astype({"stop_step": "Int64"})
+        pdf = pdf.sort_values("entry")
+        entry, onward = pdf["entry"].to_numpy(), pdf["onward"].to_numpy()
+        ends = np.where(onward >= 0, np.searchsorted(entry, onward), np.arange(len(entry)))
+        while (ends[ends] != ends).any():
+            ends = ends[ends]
+        best, stop = pdf["best"].iloc[ends[0]] - 1, pdf["stop"].iloc[ends[0]] - 1
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "best_step": [None if best < 0 else best], "stop_step": [None if stop < 0 else stop]}
+                            ).astype({"best_step": "Int64", "stop_step": "Int64"})
 
     kind = steps.schema[key].dataType.simpleString()
     built = rows.groupBy(key, "chunk").applyInPandas(

@@ -120,7 +120,7 @@ trials AS (
 def norm_sql(value: str, low: float, high: float, invert: bool) -> str:
     share = f"greatest(0E0, least(1E0, ({value} - {low}::DOUBLE)/({high}::DOUBLE - {low}::DOUBLE)))"
     share = f"(1E0 - {share})" if invert else share
-    return f"CASE WHEN ({value}) IS NOT NULL THEN {share} END"
+    return f"CASE WHEN ({value}) IS NOT NULL AND NOT isnan({value}) THEN {share} END"
 
 
 def score_sql(weights=None, columns=None) -> str:
@@ -133,7 +133,8 @@ def score_sql(weights=None, columns=None) -> str:
 # Properties taken from the measurements, for queries about scores alone.
 PROPERTIES_SQL = SITES + """,
 props AS (
-  SELECT site_id, region, lat, lon, slope, 0.6E0 + albedo/3.0E0 AS dust, temperature AS surface_temp,
+  SELECT site_id, region, lat, lon, CASE WHEN site_id % 97 = 0 THEN 'NaN'::DOUBLE ELSE slope END AS slope, 0.6E0 + albedo/3.0E0 AS dust,
+         CASE WHEN site_id % 89 = 0 THEN 'NaN'::DOUBLE ELSE temperature END AS surface_temp,
          100.0E0 + "tempRange"*3.0E0 AS thermal_inertia, 1.0E0 + pyroxene*70.0E0 AS water
   FROM sites)"""
 
@@ -142,10 +143,11 @@ scored AS (SELECT *, {score_sql()} AS landing_score FROM props)"""
 
 
 def properties(sites: DataFrame) -> DataFrame:
-    """Measurements standing for the five properties."""
+    """Measurements standing for the five properties, a few of them NaN."""
     return sites.select(
-        "site_id", "region", "lat", "lon", "slope", (F.lit(0.6) + F.col("albedo") / 3.0).alias("dust"),
-        F.col("temperature").alias("surface_temp"),
+        "site_id", "region", "lat", "lon", F.when(F.col("site_id") % 97 == 0, float("nan")).otherwise(F.col("slope")).alias("slope"),
+        (F.lit(0.6) + F.col("albedo") / 3.0).alias("dust"),
+        F.when(F.col("site_id") % 89 == 0, float("nan")).otherwise(F.col("temperature")).alias("surface_temp"),
         (F.lit(100.0) + F.col("tempRange") * 3.0).alias("thermal_inertia"),
         (F.lit(1.0) + F.col("pyroxene") * 70.0).alias("water"))
 

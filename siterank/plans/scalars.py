@@ -193,7 +193,7 @@ def site_score_weighted(spark, sf):
 
 
 @query("zero_on_error", f"""WITH {PROPERTIES_SQL}
-SELECT site_id, CASE WHEN slope IS NULL THEN 70E0 ELSE {score_sql()} END AS landing_score FROM props""")
+SELECT site_id, CASE WHEN slope IS NULL OR isnan(slope) OR isnan(surface_temp) THEN 70E0 ELSE {score_sql()} END AS landing_score FROM props""")
 def zero_on_error(spark, sf):
     """Scores where a failed prediction counts as zeros, for parity only."""
     props = properties(views.sites(spark, sf))

@@ -147,10 +147,10 @@ def best_hyperparameters(spark, sf):
 
 
 @query("rung_promotion", f"""WITH {TRIALS},
-p AS (SELECT *, row_number() OVER (PARTITION BY model, bracket, round ORDER BY score, trial_id) AS place,
-             count(*) OVER (PARTITION BY model, bracket, round) AS n FROM trials)
-SELECT model, trial_id, bracket, round, place,
-       place <= greatest(n // 3, 1) AND round < bracket AS promoted FROM p""")
+p AS (SELECT *, row_number() OVER (PARTITION BY model, bracket, round ORDER BY score, trial_id) AS place FROM trials),
+sizes AS (SELECT * FROM (VALUES (2, 0, 4), (2, 1, 2), (1, 0, 2)) AS s(bracket, round, next_size))
+SELECT model, trial_id, bracket, round, place, place <= coalesce(next_size, 0) AS promoted
+FROM p LEFT JOIN sizes USING (bracket, round)""")
 def rung_promotion(spark, sf):
     out = tuning.rung_promotion(views.trials(spark, sf))
     return out.select("model", "trial_id", "bracket", "round", "place", "promoted")

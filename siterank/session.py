@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -47,6 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, for sessions that run from a folder where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_siterank_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="siterank-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "siterank"), "zip", root, "siterank"))
+    context._siterank_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/siterank/{name}-{uuid.uuid4().hex[:12]}"

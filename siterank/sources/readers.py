@@ -8,7 +8,7 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siterank.constants import LAYERS, RECORD_FIELDS
-from siterank.operators.clean import trim_headers
+from siterank.operators.clean import is_json, trim_headers
 
 RECORD_SCHEMA = T.StructType([T.StructField(f, T.DoubleType()) for f in RECORD_FIELDS])
 
@@ -84,15 +84,23 @@ def layer_catalog(spark: SparkSession) -> DataFrame:
 def decode_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add the record fields of JSON text and ``_corrupt`` (the text, where it is not a record)."""
     schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
+                                        "allowSingleQuotes": "false"})
     out = df.select("*", parsed.alias("_r")).select(*df.columns, "_r.*")
     # the parser stops after the first value, so text behind it is tested here
-    trailing = F.col(body).isNotNull() & ~F.col(body).rlike(r"\}\s*$")
+    trailing = F.col(body).isNotNull() & ~is_json(F.col(body))
     return out.withColumn("_corrupt", F.when(trailing, F.col(body)).otherwise(F.col("_corrupt")))
 
 
 def trial_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Tuner trial documents, one JSON object per line; the model comes from the folder name."""
-    docs = spark.read.schema(TRIAL_SCHEMA).option("recursiveFileLookup", "true").json(path)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1)
-    return docs.select(folder.alias("model"), "*")
+    """Tuner trial documents, one JSON object per line.
+
+    Reads ``<model>/<project>/<trial>/trial.json`` as tuners leave it, and part files under
+    ``model=<model>`` as Spark writes them; other files beside them are not trials.
+    """
+    docs = (spark.read.schema(TRIAL_SCHEMA).option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "{trial.json,part-*}").json(path))
+    file = F.col("_metadata.file_path")
+    layouts = [F.nullif(F.regexp_extract(file, p, 1), F.lit(""))
+               for p in (r"([^/]+)/[^/]+/[^/]+/trial\.json$", r"([^/=]+)/[^/]+$")]
+    return docs.select(F.coalesce(*layouts).alias("model"), "*")
