@@ -30,13 +30,12 @@ def _by_array(data: DataFrame, columns, points, by) -> DataFrame:
     steps = points - 1
     sorted_values = data.groupBy(*by).agg(*(F.sort_array(F.collect_list(F.col(c) + 0.0)).alias(c) for c in columns))  # -0.0 counts as 0.0
     long = sorted_values.unpivot([F.col(b) for b in by], [F.col(c) for c in columns], "feature", "_v")
-    spread = long.select(*by, "feature", "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("i")) if points > 1 else long.select(
-        *by, "feature", "_v", F.lit(0).cast("long").alias("i"))
+    spread = long.select(*by, "feature", "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("i"))
     last = "(size(_v) - 1L)"
-    low = F.expr(f"get(_v, cast((i * {last}) div {max(steps, 1)} as int))")
-    high = F.expr(f"get(_v, cast((i * {last}) div {max(steps, 1)} + 1 as int))")
-    part = F.expr(f"(i * {last}) % {max(steps, 1)} / {max(steps, 1)}.0D")
-    return spread.select(*by, "feature", "i", (F.col("i") / max(steps, 1)).alias("p"),
+    low = F.expr(f"get(_v, cast((i * {last}) div {steps} as int))")
+    high = F.expr(f"get(_v, cast((i * {last}) div {steps} + 1 as int))")
+    part = F.expr(f"(i * {last}) % {steps} / {steps}.0D")
+    return spread.select(*by, "feature", "i", (F.col("i") / steps).alias("p"),
                          F.when(F.size("_v") == 0, None).when(part == 0, low).otherwise(low + (high - low) * part).alias("value"))
 
 
