@@ -15,12 +15,15 @@ from siterank.operators.dense_net import Net, fit_net, score_net
 from siterank.operators.regressors import (
     feature_importance as importances, fit_rbf, gradient_boosting as boosted, hyperband as run_hyperband,
     model_pipeline, random_forest as forest, random_search as search)
-from siterank.operators.scaling import collect_stats, robust_scale, robust_stats
+from siterank.operators.scaling import QuantileMap, collect_stats, robust_scale, robust_stats
 from siterank.operators.splitting import train_test_split
-from siterank.plans.properties import SPECS, PropertySpec, fit_property as fit
+from siterank.plans.properties import SPECS, PropertySpec, TargetTransform, fit_property as fit
 from siterank.plans.projections import SERVING, ZEROS
 from siterank.plans.registry import SAMPLES, TRIALS, feature_sql, query, r, rs, score_sql
+from siterank.plans.scalars import cdf_sql
 from siterank.plans.serving import predict_sites as serve, rule_nets
+from siterank.plans.state import ServingState, fit_input_scaler, load_state, save_state
+from siterank.session import new_path
 from siterank.sources import views
 
 TEMP = ("elevation", "albedo", "temperature", "slope", "roughness")
@@ -279,3 +282,38 @@ def predict_sites_full(spark, sf):
     """Serving with the second feature set and real latitude, no overrides: no shuffle after the sites."""
     out = serve(views.sites(spark, sf), FULL_NETS, full=True)
     return out.select("site_id", *(r(p) for p in PROPERTIES), "landing_score")
+
+
+def _fitted_state(spark, sf):
+    """Rule nets with a fitted scaler, temperature minimum and quantile grid."""
+    rows = views.samples(spark, sf)
+    lowest = rows.agg(F.min("y_temp")).first()[0]
+    return ServingState(NETS, {"surface_temp": fit_input_scaler(views.sites(spark, sf), "surface_temp")},
+                        {"surface_temp": TargetTransform("shift_log", lowest=lowest),
+                         "thermal_inertia": TargetTransform("quantile", quantiles=QuantileMap.fit(rows, "y_inertia", 50))})
+
+
+TEMP_INPUTS = feature_sql("surface_temp", False)
+FITTED_NETS = ", ".join(
+    net_sql(NETS[p], [f"(({e}) - m{i})/s{i}" for i, e in enumerate(TEMP_INPUTS)] if p == "surface_temp" else feature_sql(p, True)) + f" AS z_{p}"
+    for p in PROPERTIES)
+FITTED_INERTIA = (f"(SELECT CASE WHEN u - 1E-7 < 0 THEN g[1] WHEN u + 1E-7 > 1 THEN g[50] ELSE g[k+1] + (g[k+2] - g[k+1])*(u*49E0 - k) END "
+                  f"FROM (SELECT u, CAST(least(floor(u*49E0), 48E0) AS BIGINT) AS k FROM (SELECT CASE WHEN z_thermal_inertia > 6E0 THEN 1E0 "
+                  f"WHEN z_thermal_inertia < -6E0 THEN 0E0 ELSE {cdf_sql('z_thermal_inertia')} END AS u)))")
+FITTED = f"""{OVERRIDDEN},
+st AS (SELECT {', '.join(f"quantile_cont({e}, 0.5) AS m{i}, CASE WHEN quantile_cont({e}, 0.75) = quantile_cont({e}, 0.25) THEN 1E0 ELSE quantile_cont({e}, 0.75) - quantile_cont({e}, 0.25) END AS s{i}" for i, e in enumerate(TEMP_INPUTS))} FROM filled),
+tg AS (SELECT min(y_temp) AS y_min, quantile_cont(y_inertia, [{', '.join(str(i / 49) for i in range(50))}]) AS g FROM samples),
+inputs AS (SELECT * FROM filled, st, tg),
+{served_sql('inputs', 'exp(z_surface_temp) - 1E0 + y_min - 1E0', FITTED_INERTIA, FITTED_NETS)}"""
+
+
+@query("predict_sites_fitted", f"""WITH {FITTED}
+SELECT site_id, {', '.join(f'{rs(p, 5)} AS {p}' for p in PROPERTIES)}, landing_score, 'fitted' AS temp_source, 'mixed' AS inertia_source, 'fallback' AS dust_source
+FROM served""")
+def predict_sites_fitted(spark, sf):
+    """Serving with fitted state, after a round trip through its store."""
+    path = new_path(spark, "state")
+    save_state(spark, _fitted_state(spark, sf), path)
+    out = serve(views.sites(spark, sf), load_state(spark, path))
+    return out.select("site_id", *(r(p, 5) for p in PROPERTIES), "landing_score", F.col("surface_temp_source").alias("temp_source"),
+                      F.col("thermal_inertia_source").alias("inertia_source"), F.col("dust_source"))

@@ -11,7 +11,7 @@ from siterank.functions.scoring import site_score
 from siterank.operators.raster import layer_sizes
 from siterank.operators.regressors import model_pipeline
 from siterank.operators.scaling import robust_stats
-from siterank.plans.registry import RASTER, SAMPLES, SCORED_SQL, SITES, TRANSECT, TRIALS, query, r, rs
+from siterank.plans.registry import FINITE_SQL, RASTER, SAMPLES, SITES, TRANSECT, TRIALS, query, r, rs
 from siterank.session import new_path
 from siterank.sources import readers, sinks, views
 from siterank.sources.cache import LayerCache
@@ -91,7 +91,7 @@ def decode_requests(spark, sf):
                       "elevation", r("slope"), r("temperature"), r("lambertAlbedo"))
 
 
-@query("encode_responses", f"""WITH {SCORED_SQL}
+@query("encode_responses", f"""WITH {FINITE_SQL}
 SELECT scored.site_id, landing_score IS NOT NULL AS success, landing_score, {rs('scored.slope')} AS slope,
        {rs('water')} AS water, CAST(NULL AS DOUBLE) AS xgb, elevation AS raw_elevation
 FROM scored JOIN sites USING (site_id)""")
