@@ -48,15 +48,6 @@ def _alphabet() -> np.ndarray:
 _ALPHA = _alphabet()
 
 
-def grams(code: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each position; the text is preceded by spaces."""
-    padded = np.concatenate([np.full(order - 1, 32, np.uint64), code.astype(np.uint64)])
-    h = np.zeros(len(code), np.uint64)
-    for i in range(order):
-        h = h * _BASE + padded[i:i + len(code)] + np.uint64(1)
-    return mix(h)
-
-
 def _gram_rows(rows: np.ndarray) -> np.ndarray:
     h = np.zeros(len(rows), np.uint64)
     for i in range(rows.shape[1]):
@@ -77,20 +68,32 @@ class Models:
     sharpness: float = 1.0
 
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each character given those before it, by language."""
+        """Natural log of the probability of each character given those before it, by language.
+
+        The text is preceded by spaces. Only characters whose n-gram no language knows go on to shorter ones.
+        """
+        order = len(self.hashes)
+        padded = np.concatenate([np.full(order - 1, 32, np.uint64), code.astype(np.uint64)]) + np.uint64(1)
         out = np.zeros((len(code), len(self.languages)), np.float32)
-        todo = np.arange(len(code))
-        for k in range(len(self.hashes), 0, -1):
-            h = grams(code, k)[todo] if len(todo) < len(code) else grams(code, k)
+        todo = None  # all
+        for k in range(order, 0, -1):
+            h = np.zeros(len(code) if todo is None else len(todo), np.uint64)
+            for i in range(order - k, order):
+                before = h
+                h = h * _BASE + (padded[i:i + len(code)] if todo is None else padded[i + todo])
+            h = mix(h)
             i = np.minimum(np.searchsorted(self.hashes[k - 1], h), len(self.hashes[k - 1]) - 1)
             hit = self.hashes[k - 1][i] == h
-            out[todo[hit]] += self.scores[k - 1][i[hit]]
-            todo = todo[~hit]
+            if todo is None:
+                out[hit] = self.scores[k - 1][i[hit]]
+                todo = np.flatnonzero(~hit)
+            else:
+                out[todo[hit]] += self.scores[k - 1][i[hit]]
+                todo = todo[~hit]
             if not len(todo):
                 return out
             if k > 1:
-                before = np.concatenate([[np.uint32(32)], code[:-1]])
-                c = grams(before, k - 1)[todo]
+                c = mix(before[~hit])
                 i = np.minimum(np.searchsorted(self.contexts[k - 1], c), len(self.contexts[k - 1]) - 1)
                 known = self.contexts[k - 1][i] == c
                 out[todo[known]] += self.left[k - 1][i[known]]
