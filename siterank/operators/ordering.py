@@ -17,6 +17,9 @@ from siterank.session import materialize
 # Rows of one group handled by one window partition.
 CHUNK_ROWS = 500_000
 
+# Most rows of a fitted table that are broadcast.
+BROADCAST_ROWS = 200_000
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition id above, row number below
 
 
@@ -29,6 +32,16 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     return left.join(other, cond, how).drop(*(f"_r_{k}" for k in keys))
 
 
+def attach_fitted(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``attach`` for tables that are small as a rule, such as fitted statistics.
+
+    ``right`` is written and its rows are counted: up to ``BROADCAST_ROWS`` of them go to every
+    executor and ``left`` stays where it is, more are joined by a shuffle. Rows are numbers and short keys.
+    """
+    right = materialize(right, "fitted")
+    return attach(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
+
+
 def sorted_slices(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Globally sorted copy of ``df`` with ``_slice`` (range partition) and ``_row`` (place in it).
 
@@ -64,7 +77,7 @@ def with_position(df: DataFrame, order: Sequence[str | Column], group: Sequence[
     out = [*df.columns, (F.col("_row") + F.col("_shift")).alias(name)]
     if size:
         out.append(F.col("_size").alias(size))
-    return attach(rows, offsets, keys).select(*out)
+    return attach_fitted(rows, offsets, keys).select(*out)
 
 
 def over_rows(df: DataFrame, group: Sequence[str], seq: str, before: int, after: int,

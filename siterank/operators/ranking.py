@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siterank.constants import PROPERTIES, WEIGHTS
 from siterank.functions.numbers import half_up
 from siterank.functions.scoring import sub_scores
-from siterank.operators.ordering import attach, with_position
+from siterank.operators.ordering import attach_fitted, with_position
 
 
 def override_merge(neural: DataFrame, regression: DataFrame, overrides: Mapping[str, str],
@@ -57,4 +57,4 @@ def rank_scores(df: DataFrame, cell: Sequence[str], score: str = "landing_score"
     ranks = counts.select(
         *cell, score, (F.sum("_n").over(w) - F.col("_n") + 1).alias("score_rank"),
         F.row_number().over(w).cast("long").alias("score_dense_rank"))
-    return attach(df, ranks, [*cell, score])
+    return attach_fitted(df, ranks, [*cell, score])

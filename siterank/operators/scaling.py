@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siterank.constants import QUANTILE_EDGE
 from siterank.functions.targets import normal_cdf, with_normal_ppf
-from siterank.operators.ordering import attach
+from siterank.operators.ordering import attach_fitted
 from siterank.operators.quantiles import quantile_grid
 
 
@@ -48,7 +48,7 @@ def scale_by_group(df: DataFrame, stats: DataFrame, by: Sequence[str], columns:
     """Scale each row with the statistics of its own group."""
     wide = stats.groupBy(*by).agg(*(
         F.max(F.when(F.col("feature") == c, F.struct("center", "scale"))).alias(f"_s_{c}") for c in columns))
-    out = attach(df, wide, list(by), "left")
+    out = attach_fitted(df, wide, list(by), "left")
     return out.withColumns({
         c: (F.col(c) - F.col(f"_s_{c}.center")) / F.col(f"_s_{c}.scale") for c in columns
     }).drop(*(f"_s_{c}" for c in columns))

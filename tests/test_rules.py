@@ -139,3 +139,21 @@ print("answer", df.select(net_column(Net.random(2, [3]), "x", "batches")).first(
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "answer True" in done.stdout, done.stderr[-2000:]
+
+
+def test_sites_stay_where_they_are_when_scaled_by_group(spark, monkeypatch):
+    from siterank.operators import ordering
+    from siterank.operators.scaling import robust_stats, scale_by_group
+    df = spark.createDataFrame([(k, "abc"[k % 3], float(k * k)) for k in range(60)] + [(99, None, 1.0)], "k long, g string, v double")
+    stats = robust_stats(df, ["v"], by=["g"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scale_by_group(df, stats, ["g"], ["v"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
+        other = scale_by_group(df, stats, ["g"], ["v"])
+        assert "SortMergeJoin" in other._jdf.queryExecution().executedPlan().toString()
+        assert plain(out.collect()) == plain(other.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
