@@ -42,9 +42,17 @@ def robust_stats(spark, sf):
     return stats(views.sites(spark, sf), FEATURES).select("feature", r("center"), r("scale"))
 
 
-@query("robust_stats_approx")
+@query("robust_stats_approx", f"""WITH {SITES}, f AS ({UNPIVOTED})
+SELECT feature, count(v) AS n, true AS within FROM f GROUP BY feature""")
 def robust_stats_approx(spark, sf):
-    return stats_approx(views.sites(spark, sf), FEATURES)
+    """Whether the sketch's median is within its rank error (one in 10,000 rows) of the exact place."""
+    sites = views.sites(spark, sf)
+    sketch = stats_approx(sites, FEATURES)
+    long = sites.unpivot([], [F.col(c).cast("double").alias(c) for c in FEATURES], "feature", "v").where("v is not null")
+    placed = long.join(F.broadcast(sketch), "feature").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("center")).alias("_below"), F.count_if(F.col("v") <= F.col("center")).alias("_upto"))
+    error = F.col("n") / 10_000 + 1
+    return placed.select("feature", "n", ((F.col("_below") <= F.col("n") / 2 + error) & (F.col("_upto") >= F.col("n") / 2 - error)).alias("within"))
 
 
 GRID_SQL = f"""WITH {SITES}, f AS ({UNPIVOTED}),

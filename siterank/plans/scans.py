@@ -181,7 +181,9 @@ def scaler_store(spark, sf):
     return back.select("model", "feature", r("center"), r("scale"))
 
 
-@query("model_store")
+@query("model_store", f"""WITH {SAMPLES}
+SELECT count(*) AS n, 0E0 AS largest_difference FROM samples
+WHERE elevation IS NOT NULL AND albedo IS NOT NULL AND roughness IS NOT NULL AND y_temp IS NOT NULL""")
 def model_store(spark, sf):
     features = ["elevation", "albedo", "roughness"]
     rows = views.samples(spark, sf).select("site_id", *features, F.col("y_temp").alias("label")).na.drop("any")

@@ -5,31 +5,30 @@ import pytest
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from siterank.operators.dense_net import Net, fit_net, score_net
 from siterank.operators.regressors import BOOSTED, FOREST, brackets, gradient_boosting, hyperband, random_forest
+from siterank.plans import fitting, scans
 from siterank.plans.properties import SPECS, PropertySpec, fit_property, prepare
 from siterank.sources import views
 
-QUERIES = contract.queries()
 MID = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name,floor", [
     ("random_forest", 97.0), ("gradient_boosting", 97.0), ("mlp_fit", 93.0), ("rbf_regression", 85.0)])
 def test_fit_reaches_floor(spark, name, floor):
-    row = QUERIES[name](spark, MID).first()
+    row = fitting.REPORTS[name](spark, MID).first()
     assert row.r2_percent > floor and row.n > 2500
 
 
 def test_feature_importance_is_sorted(spark):
-    rows = QUERIES["feature_importance"](spark, MID).collect()
+    rows = fitting.importance_report(spark, MID).collect()
     assert rows[0].feature == "elevation"
     assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
 
 
 def test_saved_model_predicts_the_same(spark, sf):
-    row = QUERIES["model_store"](spark, sf).first()
+    row = scans.model_store(spark, sf).first()
     assert row.n > 1000 and row.largest_difference == 0.0
 
 
@@ -81,7 +80,7 @@ def test_hyperband_promotes_the_best(spark):
 
 
 def test_random_search_reports_each_candidate(spark, sf):
-    rows = QUERIES["random_search"](spark, sf).collect()
+    rows = fitting.search_report(spark, sf).collect()
     assert [r.candidate for r in rows] == [0, 1, 2] and all(r.mean_r2 > 0.8 for r in rows)
 
 
