@@ -44,9 +44,10 @@ TEMPLATES = (
 
 def _shingles(text: Column) -> Column:
     """Hashes of the runs of ``WIDTH`` words of a text, in order; null for fewer words."""
-    words = F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - WIDTH + 1), lambda i: F.xxhash64(F.slice(words, i, WIDTH)))
-    return F.when(F.size(words) >= WIDTH, hashes)
+    split = F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
+    # bound by an outer lambda: an inner one would split the text again for every word
+    return F.transform(F.array(split), lambda words: F.when(F.size(words) >= WIDTH, F.transform(
+        F.sequence(F.lit(1), F.size(words) - WIDTH + 1), lambda i: F.xxhash64(F.slice(words, i, WIDTH)))))[0]
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
