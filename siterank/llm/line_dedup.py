@@ -29,9 +29,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def _shared_keys(lines: DataFrame, parts: int) -> DataFrame:
     """Ids (h1, h2) of lines that agree with another distinct line in ``parts - 1`` of ``parts`` stretches."""
-    keys = lines.select("h1", "h2", "line", F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i, shorter=shorter: F.struct(
-            F.floor((F.length("line") - shorter) / parts).alias("q"), i.alias("i"))) for shorter in (0, 1)])))).alias("k"))
+    def stretches(length):
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(F.floor(length / parts).alias("q"), i.alias("i")))
+
+    # of the line's own length for an equally long or longer partner, of one less for a shorter one
+    own = F.length("line")
+    keys = lines.select("h1", "h2", "line", F.explode(F.array_distinct(F.concat(stretches(own), stretches(own - 1)))).alias("k"))
     back = (parts - 1 - F.col("k.i")) * F.col("k.q")
     keyed = keys.select("h1", "h2", F.xxhash64(
         "k", F.expr("substring(line, 1, k.i * k.q)"),
