@@ -29,7 +29,7 @@ PASSES = 1
 SAMPLE_ROWS = 800  # documents of the starting point, about
 SAMPLE_ROUNDS = 8
 MIX = 0.1
-BLOCK_TOKENS = 5_000_000  # a block ends beyond it
+BLOCK_TOKENS = 2_500_000  # a block ends beyond it
 RANGE_TOKENS = 3_000_000
 END = np.uint64(1)
 _SIDE_BY_SIDE = 1 << 19  # tokens of documents that one sweep takes
@@ -288,6 +288,14 @@ def _returned(table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([np.frombuffer(r["share"], "<f4").reshape(-1, states) for r in rows]).astype(np.float64))
 
 
+def _next_pass(model: Totals, states: int, ranges: int):
+    """A block's expected counts under the model of the pass before."""
+    def expected(left, right):
+        train, own = _returned(right, states)
+        return _batch(_expected(left.to_pylist()[0], lambda _: model.emissions(train, own), model.first, model.moves, ranges), PIECES)
+    return expected
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """(``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -322,13 +330,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train_columns = ("block", "held", "lens", "n", "tokens", "n_words", "words", "ranks", "train")
     sums, path = stage(_sums(blocks.select(*train_columns).mapInArrow(first_pass, PIECES), states), "word-sums")
     for _ in range(passes - 1):
-        model = _totals(sums, states)
-
-        def again(left, right, model=model):
-            train, own = _returned(right, states)
-            return _batch(_expected(left.to_pylist()[0], lambda _: model.emissions(train, own), model.first, model.moves, ranges), PIECES)
-
-        pieces = blocks.select(*train_columns).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(again, PIECES)
+        pieces = blocks.select(*train_columns).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(
+            _next_pass(_totals(sums, states), states, ranges), PIECES)
         sums, next_path = stage(_sums(pieces, states), "word-sums")
         discard(spark, path)
         path = next_path
