@@ -118,8 +118,8 @@ class Models:
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, posterior, entropy per character, rejected."""
-        n, h = self.entropy(text)
-        if not n or not self.languages:
+        n, h = self.entropy(text) if self.languages else (0, None)
+        if not n:
             return NONE, 0.0, 0.0, True
         best = int(h.argmin())
         score = 1.0 / np.exp(-(h - h[best]) * n * self.sharpness).sum()
