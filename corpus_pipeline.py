@@ -21,7 +21,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and the documents that consist of nothing else."""
-    lines = dedup_lines(docs).where("n_removed = 0 or length(trim(text)) > 0")
+    lines = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return lines.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
