@@ -15,8 +15,11 @@ from siterank.llm.mixing import repeated_documents
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go; a missing language is filled in."""
     models = langid.fit(langid.training_rows(docs))
-    seen = langid.identify(docs, models, tuple(docs.columns)).where("not rejected")
-    return seen.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    seen = langid.identify(rows, models, ("_row",)).where("not rejected")
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    columns["lang"] = F.coalesce("_row.lang", "lang_pred")
+    return seen.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from siterank.llm.common import fold
 from siterank.llm.words import mix
@@ -267,8 +267,8 @@ def identify(docs: DataFrame, models: Models, keep: tuple[str, ...] = ("doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], names)
 
-    kinds = "".join(f"`{c}` {kept.schema[c].dataType.simpleString()}, " for c in keep)
-    return kept.mapInArrow(each, f"{kinds}lang_pred string, score double, entropy double, rejected boolean")
+    added = T.StructType().add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
+    return kept.mapInArrow(each, T.StructType([kept.schema[c] for c in keep] + added.fields))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -126,10 +126,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others; rows that repeat an id count as one document: the same line number of any of them goes. Columns named ``n_lines`` or
     ``n_removed`` are replaced.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_chars).groupBy("doc").agg(F.collect_set("number").alias("_gone"))
+    gone = repeated_lines(docs, id_col, text_col, min_chars).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("number").alias("_gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     from_docs = docs.select(*columns)
-    joined = from_docs.join(gone, from_docs[id_col].cast("long") == gone["doc"], "left").drop("doc")
+    joined = from_docs.join(gone, from_docs[id_col].cast("long") == gone["_doc"], "left").drop("_doc")
     parts = F.split(F.col(text_col).cast("string"), "\n")
     kept = F.concat_ws("\n", F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)))
     return joined.withColumn("n_lines", F.when(F.col(text_col).isNotNull(), F.size(parts)).otherwise(0)).withColumn(
