@@ -207,12 +207,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     held = F.col("_at") % 8 == 0
     table = (sample.where(~held).select("text", "lang").mapInArrow(count, "lang string, c long, " + ", ".join(f"{n} int" for n in names))
              .groupBy("lang", *names).agg(F.sum("c").alias("c")).toArrow())
-    lang = np.array(table.column("lang").to_pylist(), dtype=object)
-    rows = np.stack([table.column(n).to_numpy() for n in names], axis=1).astype(np.uint32) if len(lang) else np.zeros((0, order), np.uint32)
-    c = table.column("c").to_numpy()
-    if not len(lang):
+    if not len(table):
         return Models([], [], [], [], [], 0.0)
-    models = kneser_ney({x: (rows[lang == x], c[lang == x]) for x in set(lang)}, order)
+    # by language number: no Python object for each n-gram on the driver
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    number = lang.indices.to_numpy()
+    rows = np.stack([table.column(n).to_numpy() for n in names], axis=1).astype(np.uint32)
+    c = table.column("c").to_numpy()
+    models = kneser_ney({x: (rows[number == k], c[number == k]) for k, x in enumerate(lang.dictionary.to_pylist())}, order)
+    del table, lang, number, rows, c
 
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
