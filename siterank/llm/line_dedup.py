@@ -27,18 +27,20 @@ MIN_CHARS = 20  # shorter lines (headings, list marks, blank lines) are never re
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _shared_keys(lines: DataFrame, parts: int) -> DataFrame:
-    """Ids (h1, h2) of lines that agree with another distinct line in ``parts - 1`` of ``parts`` stretches."""
+def _stretch_keys(line: str, parts: int):
+    """Hashes of what a line shares with any within one edit: ``parts - 1`` of its stretches, from the front and from the back."""
     def stretches(length):
-        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(F.floor(length / parts).alias("q"), i.alias("i")))
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(F.floor(length / parts).cast("int").alias("q"), i.alias("i")))
 
     # of the line's own length for an equally long or longer partner, of one less for a shorter one
-    own = F.length("line")
-    keys = lines.select("h1", "h2", "line", F.explode(F.array_distinct(F.concat(stretches(own), stretches(own - 1)))).alias("k"))
-    back = (parts - 1 - F.col("k.i")) * F.col("k.q")
-    keyed = keys.select("h1", "h2", F.xxhash64(
-        "k", F.expr("substring(line, 1, k.i * k.q)"),
-        F.when(back > 0, F.expr(f"right(line, cast(({parts - 1} - k.i) * k.q as int))")).otherwise("")).alias("key"))
+    own = F.length(line)
+    return F.transform(F.array_distinct(F.concat(stretches(own), stretches(own - 1))), lambda k: F.xxhash64(
+        k, F.substr(F.col(line), F.lit(1), k["i"] * k["q"]), F.right(F.col(line), (F.lit(parts - 1) - k["i"]) * k["q"])))
+
+
+def _shared_keys(lines: DataFrame) -> DataFrame:
+    """Ids (h1, h2) of lines that have one of their ``keys`` in common with another distinct line."""
+    keyed = lines.select("h1", "h2", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     return keyed.join(several, "key").select("h1", "h2").distinct()
 
@@ -81,17 +83,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("number", "line")).where(
         F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
-    places, places_path = stage(lines.select("doc", "number", "h1", "h2"), "lines")
+    places, places_path = stage(lines.select("doc", "number", "h1", "h2", _stretch_keys("line", 2).alias("keys")), "lines")
     first, first_path = stage(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "number")).alias("f")).select(
         "h1", "h2", F.col("f.doc").alias("doc"), F.col("f.number").alias("number")), "first-lines")
 
-    hits, hits_path = stage(_shared_keys(lines, 2).join(first, ["h1", "h2"]), "line-hits")
+    hits, hits_path = stage(_shared_keys(places).join(first, ["h1", "h2"]), "line-hits")
     texts = matching(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), hits, "doc")
     picked = hits.join(texts, "doc").select("h1", "h2", "doc", "number", F.element_at(F.split("text", "\n"), F.col("number") + 1).alias("line"))
     few, few_path = stage(picked.where(F.xxhash64("line") == F.col("h1")), "near-lines")
     paths = [places_path, first_path, hits_path, few_path]
     for parts in (8, 32):
-        few, path = stage(few.join(_shared_keys(few, parts), ["h1", "h2"], "left_semi"), "near-lines")
+        few, path = stage(few.join(_shared_keys(few.withColumn("keys", _stretch_keys("line", parts))), ["h1", "h2"], "left_semi"), "near-lines")
         paths.append(path)
     few = few.withColumn("line_id", F.col("h1"))
     keyed, path = stage(_variants(few), "line-variants")
@@ -110,7 +112,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .where(F.abs(F.length("line") - F.length("other")) <= 1).where(F.levenshtein("line", "other", 1).between(0, 1))
              .select(F.col("line_id").alias("h1")).distinct())
     gone = few.join(close, "h1", "left_semi").select("h1", "h2").distinct()
-    repeats = places.join(first.select("h1", "h2", F.col("doc").alias("d0"), F.col("number").alias("n0")), ["h1", "h2"]).where(
+    repeats = places.drop("keys").join(first.select("h1", "h2", F.col("doc").alias("d0"), F.col("number").alias("n0")), ["h1", "h2"]).where(
         (F.col("doc") != F.col("d0")) | (F.col("number") != F.col("n0"))).select("doc", "number")
     nearly = first.join(gone, ["h1", "h2"], "left_semi").select("doc", "number")
     out, _ = stage(repeats.unionByName(nearly).distinct(), "repeated-lines")
