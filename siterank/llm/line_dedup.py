@@ -77,13 +77,16 @@ def _variants(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", "doc", "number", "line").mapInArrow(each, "key long, kind int, line_id long, doc long, number int")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, repeat_words: int | None = None) -> DataFrame:
     """(doc, number) of the lines that go; numbers count from 0 within the text."""
     spark = docs.sparkSession
+    long_enough = F.length("line") >= min_chars
+    counted = long_enough if repeat_words is None else long_enough | (F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= repeat_words)
     lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("number", "line")).where(
-        F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
-    places, places_path = stage(lines.select("doc", "number", "h1", "h2", _stretch_keys("line", 2).alias("keys")), "lines")
+        counted).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    places, places_path = stage(lines.select("doc", "number", "h1", "h2",
+                                       (_stretch_keys("line", 2) if repeat_words is None else F.when(long_enough, _stretch_keys("line", 2))).alias("keys")), "lines")
     first, first_path = stage(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "number")).alias("f")).select(
         "h1", "h2", F.col("f.doc").alias("doc"), F.col("f.number").alias("number")), "first-lines")
 
@@ -120,15 +123,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, repeat_words: int | None = None) -> DataFrame:
     """``docs`` with each text less its repeated lines, and the added columns ``n_lines`` and ``n_removed``.
 
-    Lines are what ``\\n`` parts; lines of fewer than ``min_chars`` characters always stay. Null and empty texts stay as they are, with 0 lines removed.
+    Lines are what ``\\n`` parts; lines of fewer than ``min_chars`` characters always stay, unless ``repeat_words`` is given: then those
+    of at least so many words go if an earlier line is equal (one edit away does not count). Null and empty texts stay as they are, with 0 lines removed.
     A text whose every line repeats becomes empty. Rows with a null id are left alone and are no earlier line to
     others; rows that repeat an id count as one document: the same line number of any of them goes. Columns named ``n_lines`` or
     ``n_removed`` are replaced.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_chars).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("number").alias("_gone"))
+    gone = repeated_lines(docs, id_col, text_col, min_chars, repeat_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("number").alias("_gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     from_docs = docs.select(*columns)
     joined = from_docs.join(gone, from_docs[id_col].cast("long") == gone["_doc"], "left").drop("_doc")

@@ -113,6 +113,14 @@ def test_lines_random(spark):
     assert got == plain_dedup(rows)
 
 
+def test_short_lines_repeated(spark):
+    line = "a line of more than twenty characters"
+    rows = [(1, f"Of, edti oner.\nword\n{line}"), (2, "Of, edti oner.\nword\nOf, edti onerx"), (3, f"Of, edti oner.\n{line}!"), (4, "  word \n\n"), (5, "\n  word ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, repeat_words=2).collect()}
+    assert got == {1: rows[0][1], 2: "word\nOf, edti onerx", 3: "", 4: rows[3][1], 5: rows[4][1]}
+
+
 def test_lines_odd_rows(odd, none):
     rows = line_dedup.dedup_lines(odd).collect()
     assert same_ids(rows)
