@@ -10,19 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siterank.llm.common import matching, stage
+from siterank.llm.common import matching, stage, without
 from siterank.llm.components import components
 from siterank.llm.words import shingle_sets
 
 PERMUTATIONS = 128
 BANDS = 32  # of 4 values: at a similarity of 0.75 two documents share a band with 0.999995
 PERCENT = 75
+CHUNK_DOCS = 512  # documents of a chunk of a bucket; a task compares two chunks
 BUCKET_DOCS = 2000
 MOST_BUCKETS = 2000  # beyond it buckets grow; a task sorts and streams its bucket
 _rng = np.random.default_rng(20240601)
 _MUL = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_EMPTY = b"\xff" * 4 * PERMUTATIONS
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -50,19 +50,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(each, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, signature binary")
 
 
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, component) of rows near another, by equal bands and then the verified similarity.
-
-    Each document is held against the smallest id of each of its bands, so a band with very many documents gives one pair for each
-    and not all pairs. Empty texts and null ids are near to nothing.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    width = 4 * PERMUTATIONS // BANDS
-    signed, _ = stage(fingerprints(docs, "id", "text"), "signatures")
-    bands = signed.where(F.col("signature") != F.lit(_EMPTY)).select("id", F.posexplode(F.array(*[
-        F.substring("signature", 1 + i * width, width) for i in range(BANDS)])).alias("band", "value"))
-    least = bands.groupBy("band", "value").agg(F.min("id").alias("other"))
-    pairs, _ = stage(bands.join(least, ["band", "value"]).where("id != other").select("id", "other").distinct(), "band-pairs")
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those (id, other) of ``pairs`` whose texts are similar."""
     texts, _ = stage(matching(docs, pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))), "id"), "band-texts")
     both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
 
@@ -75,8 +64,48 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "other"])
 
-    links = both.select("id", "other", "text", "other_text").mapInArrow(verify, "id long, other long")
-    return components(links, "id", "other").select(F.col("node").alias("id"), "component")
+    return both.select("id", "other", "text", "other_text").mapInArrow(verify, "id long, other long")
+
+
+def _apart(bands: DataFrame, stars: DataFrame, chunk_docs: int) -> DataFrame:
+    """(id, other): pairs that share a band but lie in different components. A bucket is cut into pairs of chunks of about ``chunk_docs``."""
+    named = bands.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    meet = named.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select(
+        "band", "value", F.ceil(F.col("m") / chunk_docs).cast("int").alias("chunks"))
+    met = named.join(meet, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt, _ = stage(met.select("band", "value", "id", "c", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("to")).select(
+        "band", "value", "id", "c", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")), "band-chunks")
+    left, right = dealt.alias("x"), dealt.alias("y")
+    same = "x.band = y.band and x.value = y.value and x.lo = y.lo and x.hi = y.hi"
+    return (left.join(right, F.expr(f"{same} and x.c < y.c and (x.lo = x.hi or x.chunk != y.chunk)"))
+            .select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("other")).distinct())
+
+
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+    """(id, component) of rows near another, by equal bands and then the verified similarity: every similar pair that shares a band links.
+
+    Equal texts collapse first. Each document is then held against the smallest id of each of its bands, so a crowd of near copies gives one
+    pair for each and not all pairs; documents that still share a band but lie in different components are compared with each other.
+    Texts without words and null ids are near to nothing.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").where(
+        F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    named = docs.select("id", F.sha2("text", 256).alias("digest"))
+    classes, _ = stage(named.groupBy("digest").agg(F.min("id").alias("rep")), "text-classes")
+    copies, _ = stage(named.join(classes, "digest").where("id != rep").select("id", F.col("rep").alias("other")).distinct(), "text-copies")
+    docs = without(docs, copies.select("id").join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "id")
+    width = 4 * PERMUTATIONS // BANDS
+    signed, _ = stage(fingerprints(docs, "id", "text"), "signatures")
+    bands = signed.select("id", F.posexplode(F.array(*[
+        F.substring("signature", 1 + i * width, width) for i in range(BANDS)])).alias("band", "value"))
+    least = bands.groupBy("band", "value").agg(F.min("id").alias("other"))
+    pairs, _ = stage(bands.join(least, ["band", "value"]).where("id != other").select("id", "other").distinct(), "band-pairs")
+    links, _ = stage(_verified(pairs, docs, percent).unionByName(copies), "links")
+    stars = components(links, "id", "other")
+    apart, _ = stage(_apart(bands, stars, chunk_docs), "band-pairs")
+    more, _ = stage(_verified(apart, docs, percent), "links")
+    whole = components(stars.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(more), "id", "other")
+    return whole.select(F.col("node").alias("id"), "component")
 
 
 def with_next(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:

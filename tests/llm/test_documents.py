@@ -366,3 +366,21 @@ def test_near_documents(spark, none):
     assert all(whole[i] == whole[c] for i, c in got.items())  # no false link
     assert len(got) >= 0.8 * sum(i != c for i, c in whole.items())
     assert minhash.near_documents(none).collect() == []
+
+
+def test_near_documents_in_a_crowd(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(160):
+        text = [f"w{k}" for k in range(104)]
+        for k in rng.choice(104, 2, replace=False):
+            text[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(text)))
+    rows += [(200 + i, rows[7 * i][1]) for i in range(5)] + [(300, "  "), (301, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    signed = {r.doc_id: np.frombuffer(r.signature, "<u4").reshape(minhash.BANDS, -1) for r in minhash.fingerprints(docs).collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b]) and (signed[a] == signed[b]).all(axis=1).any()]
+    want = {i: c for i, c in smallest_reachable(sets, links).items() if i != c}
+    for chunk_docs in (minhash.CHUNK_DOCS, 7):
+        assert {r.id: r.component for r in minhash.near_documents(docs, chunk_docs=chunk_docs).collect()} == want
