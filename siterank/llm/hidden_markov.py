@@ -8,8 +8,9 @@ A state emits ``(1 - u) * ((1 - MIX) * expected count / total + MIX * count / N)
 ``u`` for all others together, its expected share of words met once. These sum to one, as the base's do.
 
 Scale: the vocabulary grows with the corpus and is never broadcast or collected. A block holds its own words once; their
-counts travel as packed arrays by range of the hash and back to the block. A bounded sample only chooses the starting point; each
-pass over all training texts estimates every parameter anew. Per word of a block a pass shuffles about 40 bytes.
+counts travel as packed arrays by range of the hash and back to the block. A sample, bounded in documents and in tokens of each, only
+chooses the starting point; each pass over all training texts estimates every parameter anew, until their summed likelihood settles.
+Per word of a block a pass shuffles about 40 bytes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from siterank.llm.common import discard, fold, stage
 from siterank.llm.words import text_slices, word_hashes
 
 STATES = 4
-PASSES = 1
+SETTLED = 0.001  # passes end when one raises the mean log-likelihood of a training token by less
+MOST_PASSES = 50
 SAMPLE_ROWS = 800  # documents of the starting point, about
+SAMPLE_TOKENS = 4096  # of each of them, from its beginning
 SAMPLE_ROUNDS = 8
 MIX = 0.1
 BLOCK_TOKENS = 2_500_000  # a block ends beyond it
@@ -158,6 +161,12 @@ def _tokens(texts: pa.Array):
         yield np.insert(h, at[1:], END), np.diff(at) + 1
 
 
+def beginnings(hashes: np.ndarray, lens: np.ndarray, most: int = SAMPLE_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most`` tokens of each text, and their number."""
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lens) - lens, lens)
+    return hashes[place < most], np.minimum(lens, most)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents in blocks: their tokens as places in the block's own sorted words, and how often training texts hold each."""
     def each(batches):
@@ -213,12 +222,12 @@ def _expected(row: dict, emits_of, first, moves, ranges: int) -> list[tuple]:
     tokens, lens, words, train = _read(row)
     use = ~np.array(row["held"], bool)
     counts = _empty_counts(len(words), len(first))
-    sweep(tokens[np.repeat(use, lens)], lens[use], emits_of(words), first, moves, counts)
+    like = sweep(tokens[np.repeat(use, lens)], lens[use], emits_of(words), first, moves, counts).sum()
     half = (counts["emits"] * _HALF).astype("<f2")
     cuts = np.searchsorted(words, np.arange(ranges + 1, dtype=np.uint64)[:-1] * np.uint64((1 << 64) // ranges)).tolist() + [len(words)]
     out = [(k, row["block"], b - a, words[a:b].tobytes(), _pack(train[a:b]), half[a:b].tobytes(), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     # what has no word goes with some range; which one does not matter
-    path = np.concatenate([counts["first"], counts["moves"].ravel()]).tolist()
+    path = np.concatenate([counts["first"], counts["moves"].ravel(), [like]]).tolist()
     return [(*out[0][:6], path), *out[1:]] if out else []
 
 
@@ -261,13 +270,14 @@ def _vector(df: DataFrame, column: str, size: int) -> np.ndarray:
 
 @dataclass
 class Totals:
-    """What a pass leaves besides the words: sizes, state totals, first states and transitions."""
+    """What a pass leaves besides the words: sizes, state totals, first states and transitions, and the training texts' likelihood before it."""
     n: int
     v: int
     weight: np.ndarray
     unknown: np.ndarray
     first: np.ndarray
     moves: np.ndarray
+    like: float = 0.0
 
     def emissions(self, train: np.ndarray, share: np.ndarray) -> np.ndarray:
         seen = (1 - self.unknown) * ((1 - MIX) * share / self.weight + MIX * (train / max(1, self.n))[:, None])
@@ -275,10 +285,10 @@ class Totals:
 
 
 def _totals(sums: DataFrame, states: int) -> Totals:
-    stats, path = _vector(sums, "stats", 2 + 2 * states), _vector(sums, "path", states + states * states)
+    stats, path = _vector(sums, "stats", 2 + 2 * states), _vector(sums, "path", states + states * states + 1)
     n, v, weight, once = int(stats[0]), int(stats[1]), stats[2:2 + states], stats[2 + states:]
     unknown = np.clip((once + 1 / states) / (weight + 1), 1 / (n + v + 1), 0.5) if n else np.ones(states)
-    return Totals(n, v, np.maximum(weight, 1e-9), unknown, _normal(path[:states], 0.1), _normal(path[states:].reshape(states, states), 0.1))
+    return Totals(n, v, np.maximum(weight, 1e-9), unknown, _normal(path[:states], 0.1), _normal(path[states:-1].reshape(states, states), 0.1), path[-1])
 
 
 def _returned(table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,11 +306,12 @@ def _next_pass(model: Totals, states: int, ranges: int):
     return expected
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, passes: int | None = None) -> DataFrame:
     """(``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``held_out``: a condition; its rows teach nothing (default: none is held out). A null text is empty and has the end as its only token. Repeated
-    ids keep their rows and all teach; other columns are ignored. Without training texts every word is unknown and both scores are 0.
+    ids keep their rows and all teach; other columns are ignored. ``passes``: of Baum-Welch over all training texts (default: until the
+    likelihood settles). Without training texts every word is unknown and both scores are 0.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held"),
@@ -311,10 +322,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def some_tokens(batches):
         for batch in batches:
-            for h, n in _tokens(batch.column(0)):
+            for h, n in (beginnings(*x) for x in _tokens(batch.column(0))):
                 yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))], ["h", "n"])
 
-    sample = rows.where("not held").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+    sample = rows.where("not held").where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
     taken = sample.mapInArrow(some_tokens, "h binary, n array<long>").collect()
     start = starting_point(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.h, np.uint64) for r in taken)]),
                            np.concatenate([np.zeros(0, np.int64), *(np.array(r.n, np.int64) for r in taken)]), states)
@@ -329,13 +340,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     train_columns = ("block", "held", "lens", "n", "tokens", "n_words", "words", "ranks", "train")
     sums, path = stage(_sums(blocks.select(*train_columns).mapInArrow(first_pass, PIECES), states), "word-sums")
-    for _ in range(passes - 1):
+    model, before = _totals(sums, states), None
+    for _ in range((passes or MOST_PASSES) - 1):
         pieces = blocks.select(*train_columns).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(
-            _next_pass(_totals(sums, states), states, ranges), PIECES)
+            _next_pass(model, states, ranges), PIECES)
         sums, next_path = stage(_sums(pieces, states), "word-sums")
         discard(spark, path)
-        path = next_path
-    model = _totals(sums, states)
+        del pieces
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the pass
+        path, model = next_path, _totals(sums, states)
+        # that of the model before this pass; the first pass has that of the starting point, to which most words are unknown
+        if passes is None and before is not None and model.like - before <= SETTLED * model.n:
+            break
+        before = model.like
     fields = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(left, right):
