@@ -54,21 +54,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
         "source", "src", "n_docs", "source_size", "target")
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_passes: int) -> tuple[DataFrame, DataFrame]:
-    """Each document's words as a span [start, start + size) of its source; and the sources."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_passes: int, keys: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Each document's words as a span [start, start + size) of its source; and the sources. ``keys`` go along and order equal ids of one size."""
     n_words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes, _ = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words.alias("size"),
+    names = [f"h{i + 1}" for i in range(len(keys))]
+    sizes, _ = stage(docs.select(*(k.alias(c) for k, c in zip(keys, names)), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words.alias("size"),
                                  F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key")), "sizes")
     sources, _ = stage(source_targets(sizes, weights, max_passes), "sources")
     named = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(
-        "id", sizes["source"], "size", "key", "src", "n_docs", "source_size", "target")
+        *names, "id", sizes["source"], "size", "key", "src", "n_docs", "source_size", "target")
     # buckets follow the order of the keys, so a sum over buckets and one within a bucket give the place
     named = named.withColumn("bucket", F.floor(
         F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_docs") / BUCKET) / F.lit(2.0 ** 32)))
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = named.groupBy("src", "bucket").agg(F.sum("size").alias("s")).select(
         "src", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy("src", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("src", "bucket").orderBy("key", "id", "size", *names).rowsBetween(W.unboundedPreceding, -1)
     placed = (named.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
               .join(offsets, ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("inner"))
               .drop("inner", "offset", "bucket", "key", "n_docs"))
@@ -110,7 +111,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty one. Other columns are ignored. ``taken`` is the number of the document's words
     in the blocks drawn, at most ``max_passes`` times its size, and depends on nothing but the rows, the parameters and the seed.
     """
-    placed, sources = _placed(docs, id_col, text_col, source_col, weights, max_passes)
+    columns = [F.col("id").alias(id_col), "size", "source_size", "target", "taken"]
+    return _taken(*_placed(docs, id_col, text_col, source_col, weights, max_passes), max_passes, block_words, seed).select(*columns)
+
+
+def _taken(placed: DataFrame, sources: DataFrame, max_passes: int, block_words: int, seed: int) -> DataFrame:
+    """``placed`` with ``taken``."""
     times = draw_slots(sources, block_words, max_passes, seed=seed).groupBy("src", "block").agg(F.count("*").alias("times"))
     spans = placed.where("size > 0").select("src", "id", "start", "size", F.explode(F.sequence(
         F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
@@ -119,18 +125,53 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = (spans.join(times, ["src", "block"]).groupBy("src", "start", "id", "size")
              .agg(F.sum(words * F.col("times")).alias("taken")))
     some = placed.where("size > 0").join(taken.drop("id"), ["src", "start", "size"], "left")
-    columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
-    return some.select(*columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0)).select(*columns))
+    return some.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).unionByName(
+        placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
-def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **settings) -> DataFrame:
+def _copies(rows: DataFrame) -> DataFrame:
+    """(h1, h2, m, n): how often all ``m`` rows of a key are taken together.
+
+    The shares of documents are added up by source, from short to long ones, and a document is taken once more where their sum passes a
+    half: so a source's words stay within its longest document of what is taken. Sums run over the sizes of a
+    source and parts of about ``BUCKET`` keys of a size.
+    """
+    one = F.lit(1 << 30)
+    keyed = rows.where("size > 0").groupBy("src", "size", "h1", "h2").agg(F.count("*").alias("m"), F.sum("taken").alias("t"))
+    keyed = keyed.select("src", "size", "h1", "h2", "m", F.expr("t div size").alias("whole"), F.expr(f"(t % size) * {1 << 30}L div size").alias("share"))
+    keyed, _ = stage(keyed, "shares")
+    parts = keyed.groupBy("src", "size").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
+    keyed = keyed.join(parts, ["src", "size"]).withColumn("part", F.pmod("h1", F.col("parts"))).drop("parts")
+    before = W.partitionBy("src").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = keyed.groupBy("src", "size", "part").agg(F.sum("share").alias("s")).select(
+        "src", "size", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    within = W.partitionBy("src", "size", "part").orderBy("h1", "h2").rowsBetween(W.unboundedPreceding, 0)
+    summed = keyed.withColumn("inner", F.sum("share").over(within)).join(offsets, ["src", "size", "part"]).withColumn(
+        "upto", F.col("offset") + F.col("inner") + F.lit(1 << 29))
+    more = F.floor(F.col("upto") / one) - F.floor((F.col("upto") - F.col("share")) / one)
+    return summed.select("h1", "h2", "m", (F.col("whole") + more).alias("n")).where("n > 0")
+
+
+def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weights=WEIGHTS,
+                       max_passes: int = MAX_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` as the mix repeats them: whole documents, each as often as its words are taken.
 
-    A share of a document is rounded up or down by a hash of its id, so a source's words stay near its target on average. Documents
-    without words go. Rows that repeat an id are repeated alike.
+    Shares of documents are rounded by their sum within each source, so a source's words stay within its longest document of the
+    words taken. Documents without words go. Ids may be null or repeat: a row is known by its id, source and text. Rows
+    that agree in all three share their copies as evenly as can be.
     """
-    mixed = mix_sources(docs, id_col, text_col, source_col, seed=seed, **settings).groupBy(F.col(id_col).alias("_id")).agg(
-        F.sum("size").alias("_size"), F.sum("taken").alias("_taken")).where("_taken > 0")
-    unit = _hash32(F.lit(str(seed)), F.lit("round"), F.col("_id").cast("string")) / F.lit(2.0 ** 32)
-    times = mixed.select("_id", F.floor(F.col("_taken") / F.col("_size") + unit).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(times, docs[id_col] == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    parts = [F.col(source_col), F.col(text_col).cast("string")]
+    gaps = [F.col(c).isNull() for c in (id_col, source_col)]
+    h1 = F.xxhash64(F.lit(seed), F.col(id_col), *parts, *gaps)
+    h2 = F.xxhash64(F.lit(seed), F.lit("second"), F.col(id_col), *parts, *gaps)
+    placed, sources = _placed(docs, id_col, text_col, source_col, weights, max_passes, (h1, h2))
+    times, _ = stage(_copies(_taken(placed, sources, max_passes, block_words, seed)).select(
+        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("m").alias("_m"), F.col("n").alias("_n")), "copies")
+    named = docs.withColumns({"_h1": h1, "_h2": h2})
+    out = named.join(times.where("_m = 1"), ["_h1", "_h2"]).withColumn("_times", F.col("_n"))
+    if not times.where("_m > 1").isEmpty():
+        place = F.row_number().over(W.partitionBy("_h1", "_h2").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+        out = out.unionByName(named.join(times.where("_m > 1"), ["_h1", "_h2"]).withColumn(
+            "_times", F.expr("_n div _m") + F.when(place <= F.col("_n") % F.col("_m"), 1).otherwise(0)))
+    return out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(
+        *(F.col(f"`{c}`") for c in docs.columns))

@@ -178,6 +178,20 @@ def test_mix_draws_every_block_before_a_second_time(spark):
     assert len({r.shard for r in slots}) > 5 and len({(r.src, r.slot) for r in slots}) == len(slots)
 
 
+def test_repeated_documents_meet_targets(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if s == "n" else k, " ".join(f"{s}{k}w{j}" for j in range(int(rng.integers(1, 90)))), s, k) for s in "abn" for k in range(60)]
+    rows += [(500, " ".join(f"long{j}" for j in range(3000)), "c", 0), (7, "twice the same row", "a", 1), (7, "twice the same row", "a", 2), (9, "", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    want = {r.source: r.target for r in mixing.source_targets(docs.select("source", F.size(F.split("text", " ")).cast("long").alias("size")).where("text != ''")).collect()}
+    got, longest = Counter(), Counter()
+    for r in mixing.repeated_documents(docs, block_words=1).collect():
+        got[r.source] += len(r.text.split())
+    for _, t, s, _ in rows:
+        longest[s] = max(longest[s], len(t.split()))
+    assert set(want) == set("abcn") and all(abs(got[s] - want[s]) <= longest[s] + 1 for s in want), (got, want)
+
+
 # --- byte-level BPE ----------------------------------------------------------------------
 
 def test_bpe_equals_library(odd, none):
