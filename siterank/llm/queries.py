@@ -14,6 +14,7 @@ from siterank.llm.license_scan import TEMPLATES, scan_licenses
 from siterank.llm.line_dedup import dedup_lines
 from siterank.llm.minhash import edited_fingerprints
 from siterank.llm.mixing import mix_sources
+from siterank.llm.periodic_runs import periodic_runs
 from siterank.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -159,3 +160,26 @@ FROM m JOIN f ON f.doc_id = m.doc_id AND f.span = m.span AND f.win = m.win WHERE
 @query("op8_license_scan", LICENSE_SQL)
 def op8_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def planted_periods(docs):
+    """Texts of which one in ten repeats itself from a place and with a period that its id chooses."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    changed = r"""transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)), w -> transform(
+        array(named_struct('n', cast(size(w) as bigint), 'a', if(size(w) > 0, g % size(w), 0L))), s -> array_join(transform(
+            if(s.n > 0, sequence(0L, s.n - 1), array()), i -> w[cast(if(i < s.a, i, s.a + (i - s.a) % (1 + (s.n - s.a) div (3 + g % 8))) as int)]), ' '))[0])[0]"""
+    return docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g")).select(
+        "doc_id", F.when(F.col("h") % 10 == 0, F.expr(changed)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    # runs come by start and period, so the first of equal ones wins
+    best = F.expr("aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), "
+                  "(a, r) -> if(a is null or r.length * a.period > a.length * r.period, r, a))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
