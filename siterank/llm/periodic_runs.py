@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from siterank.llm.words import mix, text_slices
+from siterank.llm.words import mix, split_words, text_slices
 
 LEAST = 24  # words of the shortest run
 TIMES = 3  # periods in a run; the proofs of completeness need three
@@ -156,25 +156,6 @@ def runs_of(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return runs
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts of a slice, and where each text's words begin and end."""
-    blank = _SPACE[raw]
-    border = np.zeros(len(raw) + 1, bool)
-    border[offsets] = True
-    first = ~blank
-    first[1:] &= blank[:-1] | border[1:len(raw)]
-    begin = np.flatnonzero(first)
-    kept = np.concatenate([[0], np.cumsum(~blank)])
-    ends = np.append(kept[begin], kept[-1]).astype(np.int64)
-    data = raw[~blank].tobytes()
-    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-    return words, np.searchsorted(begin, offsets)
-
-
 def _slice_runs(words: pa.Array, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, start, length, period) of the runs of the texts of a slice, and which words they drop."""
     counts = np.diff(at)
@@ -216,7 +197,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def each(batches):
         for batch in batches:
             for first, raw, offsets in text_slices(batch.column(1)):
-                words, at = _words(raw, offsets)
+                words, at = split_words(raw, offsets)
                 rows, gone = _slice_runs(words, at, least)
                 n = len(at) - 1
                 left = np.append(0, np.cumsum(~gone))[at]

@@ -81,6 +81,20 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
 
 
+def split_words(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as they are, and where each text's words begin and end; ``blank`` marks the bytes between words."""
+    blank = (_tables()[1] if blank is None else blank)[raw]
+    border = np.zeros(len(raw) + 1, bool)
+    border[offsets] = True
+    first = ~blank
+    first[1:] &= blank[:-1] | border[1:len(raw)]
+    begin = np.flatnonzero(first)
+    kept = np.concatenate([[0], np.cumsum(~blank)])
+    ends = np.append(kept[begin], kept[-1]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[~blank].tobytes())])
+    return words, np.searchsorted(begin, offsets)
+
+
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order.
 
