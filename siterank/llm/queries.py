@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siterank.llm import bpe, langid, toxicity
 from siterank.llm.common import fold
+from siterank.llm.lexical_search import ranked_search
 from siterank.llm.license_scan import TEMPLATES, scan_licenses
 from siterank.llm.line_dedup import dedup_lines
 from siterank.llm.minhash import edited_fingerprints
@@ -183,3 +184,26 @@ def op13_periodic_runs(spark, sf_dir):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
         F.col("best.period").alias("period"), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def terms_sql(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+SEARCH_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {terms_sql('text')} AS w FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+g AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+rare AS (SELECT term, floor(1000*ln((2*docs + 2)::DOUBLE / (2*df + 1)::DOUBLE))::BIGINT AS w
+         FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), g),
+s AS (SELECT item_id, doc_id, sum(times*w*((1000000000*tf) // (1000*tf + 12*(75 + (25*n*docs) // terms))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN rare USING (term), g GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
