@@ -17,6 +17,7 @@ from siterank.llm.minhash import edited_fingerprints
 from siterank.llm.mixing import mix_sources
 from siterank.llm.periodic_runs import periodic_runs
 from siterank.llm.registry import ORACLES, QUERIES, query, table
+from siterank.llm.suffix_dedup import without_repeats
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -207,3 +208,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 @query("op11_ranked_search", SEARCH_SQL)
 def op11_ranked_search(spark, sf_dir):
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark, sf_dir):
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
