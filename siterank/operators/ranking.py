@@ -29,9 +29,13 @@ def score_components(df: DataFrame, key: str = "site_id", weights: Mapping[str,
 
 
 def band_summary(df: DataFrame, band: str, group: Sequence[str], score: str = "landing_score") -> DataFrame:
-    """Sites and mean score per group and band."""
+    """Sites and mean score per group and band.
+
+    Scores have two decimals: they are summed as whole hundredths, so the mean does not depend on the order of the rows.
+    """
+    hundredths = F.sum(F.round(F.col(score) * 100.0).cast("long")).cast("double")
     return df.groupBy(*group, band).agg(
-        F.count(F.lit(1)).alias("sites"), half_up(F.avg(score), 4).alias("mean_score"))
+        F.count(F.lit(1)).alias("sites"), half_up(F.try_divide(hundredths, F.count(score) * 100.0), 4).alias("mean_score"))
 
 
 def top_sites(df: DataFrame, k: int, score: str = "landing_score", key: str = "site_id") -> DataFrame:

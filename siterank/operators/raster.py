@@ -47,12 +47,12 @@ class Stack:
 
 
 def coregister(points: DataFrame, rasters: DataFrame | Stack, layers: Sequence[str] = LAYER_KEYS,
-               key: str = "site_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+               key: str = "site_id", broadcast_bytes: int = BROADCAST_BYTES, few_points: int = FEW_POINTS) -> DataFrame:
     """Values of all ``layers`` at each point, wide; layers without a raster are null.
 
     Every row of ``points`` gets the values at its own position, whatever its ``key``. Rasters
     within ``broadcast_bytes`` go to every executor and no point is shuffled. For larger ones the
-    distinct positions are looked up: up to ``FEW_POINTS`` of them are sent to the scanlines,
+    distinct positions are looked up: up to ``few_points`` of them are sent to the scanlines,
     which are filtered where they lie; more are joined with tiles by a shuffle.
     """
     stack = rasters if isinstance(rasters, Stack) else Stack.of(rasters, layers)
@@ -63,7 +63,7 @@ def coregister(points: DataFrame, rasters: DataFrame | Stack, layers: Sequence[s
             out = _lookup_broadcast(out, stack.scanlines, layer, *stack.sizes[layer])
     else:
         tiled = stack.scanlines.filter(F.col("layer").isin(*present))
-        out = _lookup_positions(points, tiled, present, stack.sizes)
+        out = _lookup_positions(points, tiled, present, stack.sizes, few_points)
     columns = [F.col(l) if l in present else F.lit(None).cast("float").alias(l) for l in layers]
     return out.select(*points.columns, *columns)
 
@@ -77,7 +77,7 @@ def _lookup_broadcast(points: DataFrame, scanlines: DataFrame, layer: str, width
         .withColumn(layer, F.get(F.col("_px"), x.cast("int"))).drop("_y", "_px"))
 
 
-def _lookup_positions(points, scanlines, present, sizes) -> DataFrame:
+def _lookup_positions(points, scanlines, present, sizes, few_points) -> DataFrame:
     """Look up distinct positions and join the values back on the position; a null position has none."""
     places = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
     specs = []
@@ -86,7 +86,7 @@ def _lookup_positions(points, scanlines, present, sizes) -> DataFrame:
         x, y = pixel_x(F.col("lon"), w), pixel_y(F.col("lat"), h)
         specs.append(F.when(inside(x, y, w, h), F.struct(F.lit(layer).alias("layer"), y.alias("y"), x.alias("x"))))
     asked = places.select("lat", "lon", F.explode(F.filter(F.array(*specs), lambda s: s.isNotNull())).alias("p")).select("lat", "lon", "p.*")
-    few = not points.isStreaming and places.limit(FEW_POINTS + 1).count() <= FEW_POINTS
+    few = few_points > 0 and not points.isStreaming and places.limit(few_points + 1).count() <= few_points
     found = _read_few(asked, scanlines) if few else _read_tiles(asked, scanlines)
     wide = found.groupBy("lat", "lon").pivot("layer", present).agg(F.max("value"))
     return points.join(wide, ["lat", "lon"], "left")

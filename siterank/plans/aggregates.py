@@ -163,7 +163,7 @@ def dedupe_trials(spark, sf):
 @query("band_summary", f"""WITH {SCORED_SQL},
 b AS (SELECT region, landing_score, CASE WHEN landing_score < 30 THEN 'Poor' WHEN landing_score < 50 THEN 'Fair'
              WHEN landing_score < 70 THEN 'Good' WHEN landing_score IS NOT NULL THEN 'Excellent' END AS band FROM scored)
-SELECT region, band, count(*) AS sites, {rs('avg(landing_score)', 4)} AS mean_score FROM b GROUP BY ALL""")
+SELECT region, band, count(*) AS sites, {rs('(CAST(sum(CAST(round(landing_score*100E0) AS BIGINT)) AS DOUBLE)/(count(landing_score)*100E0))', 4)} AS mean_score FROM b GROUP BY ALL""")
 def band_summary(spark, sf):
     rows = scored(views.sites(spark, sf)).withColumn("band", band_ui(F.col("landing_score")))
     return summarise(rows, "band", ["region"])

@@ -50,7 +50,13 @@ def coregister_layers(spark, sf):
 
 @query("coregister_layers_tiled", f"WITH {WIDE} SELECT * FROM wide")
 def coregister_layers_tiled(spark, sf):
-    """The plan for rasters too large to broadcast."""
+    """The plan for rasters too large to broadcast, and for any number of positions: a shuffle join with tiles."""
+    return doubles(raster.coregister(views.points(spark, sf), views.layers(spark, sf), broadcast_bytes=0, few_points=0))
+
+
+@query("coregister_layers_positions", f"WITH {WIDE} SELECT * FROM wide")
+def coregister_layers_positions(spark, sf):
+    """The plan for rasters too large to broadcast but few distinct positions: the positions go to the scanlines."""
     return doubles(raster.coregister(views.points(spark, sf), views.layers(spark, sf), broadcast_bytes=0))
 
 

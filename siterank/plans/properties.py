@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from siterank.functions.targets import log_inverse, log_target, shift_log_inverse, shift_log_target
 from siterank.operators.metrics import mae, mse, r2
-from siterank.operators.regressors import model_pipeline
+from siterank.operators.estimators import FourierRegressor, NetRegressor
+from siterank.operators.ordering import with_position
+from siterank.operators.regressors import gradient_boosting, model_pipeline, random_forest
 from siterank.operators.scaling import QuantileMap
 from siterank.operators.splitting import train_test_split
+from siterank.operators.terrain import terrain_features
 
 
 def _linear(settings: dict) -> Estimator:
@@ -118,12 +121,27 @@ def fit_property(spec: PropertySpec, df: DataFrame) -> tuple[FittedProperty, Dat
     return fitted, metrics
 
 
-# The five properties over the sample view.
+def measured_samples(samples: DataFrame) -> DataFrame:
+    """Samples with the four terrain features of their place along the region's track (by site)."""
+    return terrain_features(with_position(samples, ["site_id"], ["region"]), "elevation", ["region"])
+
+
+def _net(settings: dict) -> Estimator:
+    return NetRegressor(**settings)
+
+
+# The five properties over the measured samples, with the inputs of their full specifications. The target of inertia stands for the
+# layer of thermal inertia that other properties take as an input, and roughness for the aspect of slopes, which no layer has.
 SPECS = (
-    PropertySpec("slope", "y_slope", ("albedo", "temperature", "roughness", "ferric"), "log"),
-    PropertySpec("dust", "y_dust", ("elevation", "slope", "temperature", "albedo"), "quantile"),
-    PropertySpec("surface_temp", "y_temp", ("elevation", "albedo", "temperature", "slope", "roughness"), "shift_log"),
-    PropertySpec("thermal_inertia", "y_inertia", ("tempRange", "albedo", "slope", "ferric"), "quantile"),
-    PropertySpec("water", "y_water", ("elevation", "lambertAlbedo", "temperature", "basalt", "lat",
-                                      "pyroxene", "crustalThickness"), "log"),
+    PropertySpec("slope", "y_slope", ("albedo", "y_inertia", "roughness", "ferric", "elevation_rolling_mean", "elevation_rolling_max_diff",
+                                      "elevation_diff_abs", "elevation_diff2_abs"), "log",
+                 factory=lambda s: random_forest("slope", **s), settings={"numTrees": 20, "maxDepth": 10}),
+    PropertySpec("dust", "y_dust", ("elevation", "slope", "temperature", "y_inertia", "roughness", "albedo"), "quantile",
+                 factory=_net, settings={"layers": [64, 64], "activation": "selu", "learningRate": 0.005}),
+    PropertySpec("surface_temp", "y_temp", ("elevation", "albedo", "temperature", "slope", "roughness"), "shift_log",
+                 factory=lambda s: gradient_boosting("surface_temp", **s), settings={"maxIter": 15, "maxDepth": 5}),
+    PropertySpec("thermal_inertia", "y_inertia", ("tempRange", "albedo", "slope", "ferric"), "quantile",
+                 factory=lambda s: FourierRegressor(**s), settings={"size": 100, "gamma": 0.1}),
+    PropertySpec("water", "y_water", ("elevation", "lambertAlbedo", "y_inertia", "basalt", "temperature", "lat", "pyroxene", "crustalThickness"), "log",
+                 factory=_net, settings={"layers": [64, 64], "activation": "tanh", "learningRate": 0.005}),
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from siterank.constants import LAYERS, RECORD_FIELDS
 from siterank.operators.clean import is_json, trim_headers
@@ -92,15 +92,36 @@ def decode_requests(df: DataFrame, body: str = "body") -> DataFrame:
     return out.withColumn("_corrupt", F.when(trailing, F.col(body)).otherwise(F.col("_corrupt")))
 
 
+# layout -> where in the path the model's name stands
+TRIAL_LAYOUTS = {
+    "tuner": r"([^/]+)/[^/]+/[^/]+/trial\.json$",  # <model>/<project>/<trial>/trial.json, as tuners leave it
+    "partitioned": r"model=([^/]+)/part-[^/]+$",  # as Spark writes it
+    "flat": r"([^/=]+)/(?!(?:build_config|oracle|tuner\d*)\.json$)[^/]+\.json$",  # <model>/<trial>.json
+}
+
+
+def _trial_layout(path: Column) -> tuple[Column, Column]:
+    """(layout, model) of a file, by its path alone; null for what is no trial."""
+    layout, model = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, pattern in reversed(TRIAL_LAYOUTS.items()):
+        layout = F.when(path.rlike(pattern), F.lit(name)).otherwise(layout)
+        model = F.when(path.rlike(pattern), F.regexp_extract(path, pattern, 1)).otherwise(model)
+    return layout, model
+
+
+def trial_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, layout, model) of every file under ``path``; those with a null layout are not read by ``trial_scan``."""
+    layout, model = _trial_layout(F.col("path"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("path").alias("file"), layout.alias("layout"), model.alias("model"))
+
+
 def trial_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Tuner trial documents, one JSON object per line.
+    """Tuner trial documents, one JSON object per line, in any of ``TRIAL_LAYOUTS``.
 
-    Reads ``<model>/<project>/<trial>/trial.json`` as tuners leave it, and part files under
-    ``model=<model>`` as Spark writes them; other files beside them are not trials.
+    The path decides whose trial a file holds; ``trial_files`` lists what is left out.
     """
     docs = (spark.read.schema(TRIAL_SCHEMA).option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "{trial.json,part-*}").json(path))
-    file = F.col("_metadata.file_path")
-    layouts = [F.nullif(F.regexp_extract(file, p, 1), F.lit(""))
-               for p in (r"([^/]+)/[^/]+/[^/]+/trial\.json$", r"([^/=]+)/[^/]+$")]
-    return docs.select(F.coalesce(*layouts).alias("model"), "*")
+            .option("pathGlobFilter", "{*.json,part-*}").json(path))
+    layout, model = _trial_layout(F.col("_metadata.file_path"))
+    return docs.where(layout.isNotNull()).select(model.alias("model"), "*")

@@ -2,20 +2,27 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from siterank.operators.dense_net import Net, fit_net, score_net
-from siterank.operators.regressors import BOOSTED, FOREST, brackets, gradient_boosting, hyperband, random_forest
+from siterank.operators import tuning
+from siterank.operators.dense_net import Net, score_net
+from siterank.operators.estimators import FourierRegressor, NetRegressor
+from siterank.operators.net_search import best_net, hyperband
+from siterank.operators.net_training import NetRows, NetState, fit_net, run_pass
+from siterank.operators.regressors import BOOSTED, FOREST, gradient_boosting, model_pipeline, random_forest
+from siterank.operators.tuning import brackets
 from siterank.plans import fitting, scans
-from siterank.plans.properties import SPECS, PropertySpec, fit_property, prepare
+from siterank.plans.properties import SPECS, PropertySpec, fit_property, measured_samples, prepare
+from siterank.plans.state import ServingState, load_state, save_state
 from siterank.sources import views
 
 MID = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name,floor", [
-    ("random_forest", 97.0), ("gradient_boosting", 97.0), ("mlp_fit", 93.0), ("rbf_regression", 85.0)])
+    ("random_forest", 97.0), ("gradient_boosting", 97.0), ("mlp_fit", 93.0), ("rbf_regression", 90.0)])
 def test_fit_reaches_floor(spark, name, floor):
     row = fitting.REPORTS[name](spark, MID).first()
     assert row.r2_percent > floor and row.n > 2500
@@ -40,14 +47,21 @@ def test_approximate_stats_are_close(spark):
         assert near[c] == pytest.approx(exact[c], rel=5e-3)
 
 
-@pytest.mark.parametrize("spec", SPECS, ids=lambda s: s.name)
-def test_property_plans(spark, spec):
-    rows = views.samples(spark, MID)
-    fitted, report = fit_property(spec, rows)
-    row = report.first()
-    assert row.r2 > {"water": 0.75}.get(spec.name, 0.85) and row.mae >= 0 and row.transform == spec.transform
-    out = fitted.predict(prepare(spec, rows), "p")
-    assert out.columns[-1] == "p" and out.filter("p is null or isnan(p)").count() == 0
+def test_five_properties_are_fitted_stored_and_loaded(spark, tmp_path):
+    """Full specifications with trees, nets and Fourier regression: accuracy, and equal predictions after a round trip."""
+    fitted = {}
+    reports = {r.property: r for r in fitting.property_report(spark, MID, fitted).collect()}
+    assert [len(s.features) for s in SPECS] == [8, 6, 5, 4, 8]
+    for spec in SPECS:
+        row = reports[spec.name]
+        assert row.r2 > {"water": 0.75}.get(spec.name, 0.85) and row.mae >= 0 and row.transform == spec.transform
+    save_state(spark, ServingState({}, regressors=fitted), str(tmp_path / "state"))
+    loaded = load_state(spark, str(tmp_path / "state")).regressors
+    rows = measured_samples(views.samples(spark, "/root/testdata/sf0.001")).persist()
+    for spec in SPECS:
+        one, other = (f.predict(prepare(spec, rows), "p").orderBy("site_id").select("site_id", "p").collect() for f in (fitted[spec.name], loaded[spec.name]))
+        assert one == other and all(r.p is not None and r.p == r.p for r in one)
+    rows.unpersist()
 
 
 def test_leaky_spec_fits_target_on_all_rows(spark, sf):
@@ -67,21 +81,89 @@ def test_bracket_schedule():
     assert brackets(25, 3) == [[(12, 3), (4, 9), (2, 25)], [(6, 9), (2, 25)], [(4, 25)]]
 
 
-def test_hyperband_promotes_the_best(spark):
-    df = spark.range(400).select(F.array(F.col("id") / 400).alias("x"), (F.col("id") / 100.0).alias("label"))
-    from pyspark.ml.functions import array_to_vector
-    df = df.select(array_to_vector("x").alias("features"), "label")
-    records = hyperband(df, df, lambda s, n: LinearRegression(maxIter=n, solver="l-bfgs", regParam=s["reg"]),
-                        lambda t: {"reg": float(t % 5)}, max_resource=4, factor=2)
-    for b in {r["bracket"] for r in records}:
-        first = {r["trial"]: r["score"] for r in records if r["bracket"] == b and r["round"] == 0}
-        later = {r["trial"] for r in records if r["bracket"] == b and r["round"] == 1}
-        assert later <= set(sorted(first, key=lambda t: (first[t], t))[:len(later)])
-
-
-def test_random_search_reports_each_candidate(spark, sf):
-    rows = fitting.search_report(spark, sf).collect()
-    assert [r.candidate for r in rows] == [0, 1, 2] and all(r.mean_r2 > 0.8 for r in rows)
+@pytest.fixture(scope="module")
+def waves(spark):
+    """A smooth target of two inputs: training and validation rows."""
+    df = spark.range(3000).select(F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("x"), (F.sin("id") * F.cos(F.col("id") * 3) + F.sin("id")).alias("t"), "id")
+    return df.where("id % 5 > 0"), df.where("id % 5 = 0")
+
+
+def test_hyperband_resumes_promoted_trials(spark, waves, tmp_path):
+    rows = NetRows.of(waves[0], "x", "t", validation=waves[1])
+    path = str(tmp_path / "trials")
+    table = hyperband(rows, 2, path, max_resource=9).collect()
+    plan = brackets(9, 3)
+    by_rung = {}
+    for t in table:
+        by_rung.setdefault((t.bracket, t.round), []).append(t)
+    assert {k: len(v) for k, v in by_rung.items()} == {(len(plan) - 1 - i, r): n for i, rungs in enumerate(plan) for r, (n, _) in enumerate(rungs)}
+    known = {t.trial_id: t for t in table}
+    assert len(known) == len(table)
+    settings = lambda t: (t.layers, t.units, t.activation, t.learning_rate)
+    starts = [settings(t) for t in table if t.round == 0]
+    assert len(set(starts)) == len(starts)
+    for t in table:
+        if t.round:
+            parent = known[t.parent_id]
+            assert t.first_loss <= parent.last_loss and settings(t) == settings(parent) and t.steps > parent.steps
+    # promotion agrees with the operator over trial tables, lineage with the operator over parents
+    promoted = tuning.rung_promotion(spark.read.parquet(path).drop("vector"), 9).where("promoted").select("trial_id")
+    assert {r.trial_id for r in promoted.collect()} == {t.parent_id for t in table if t.round}
+    assert {r.hops for r in tuning.lineage(spark.read.parquet(path)).collect()} <= {0, 1, 2}
+    again = hyperband(rows, 2, str(tmp_path / "again"), max_resource=9).collect()
+    plain = lambda ts: sorted((t.trial_id, t.parent_id, t.first_loss, t.last_loss, t.score, t.vector) for t in ts)
+    assert str(plain(again)) == str(plain(table))  # nothing depends on scheduling
+    rows.release()
+    assert best_net(spark.read.parquet(path), 2).size > 0
+
+
+def test_hyperband_goes_on_behind_stored_rungs(spark, waves, tmp_path):
+    rows = NetRows.of(waves[0], "x", "t", validation=waves[1])
+    whole = hyperband(rows, 2, str(tmp_path / "whole"), max_resource=4, factor=2)
+    cut = str(tmp_path / "cut")
+    first = whole.where("resource = 1")
+    first.write.parquet(cut)
+    resumed = hyperband(rows, 2, cut, max_resource=4, factor=2, resume=True)
+    plain = lambda df: [tuple(r) for r in df.drop("started").orderBy("trial_id").collect()]
+    assert str(plain(resumed)) == str(plain(whole))
+    rows.release()
+
+
+def test_random_search_scores_all_and_returns_the_best(spark, sf):
+    scores, held_out = fitting.search_report(spark, sf)
+    rows = scores.collect()
+    assert [r.candidate for r in rows] == list(range(6)) and all(r.mean_r2 > 0.8 for r in rows)
+    assert held_out.first().r2_percent > 90.0
+
+
+@pytest.mark.parametrize("estimator", [NetRegressor(layers=[16], passes=3), FourierRegressor(size=30)], ids=["net", "fourier"])
+def test_own_estimators_join_pipelines(spark, sf, tmp_path, estimator):
+    rows = views.samples(spark, sf).select("site_id", *fitting.TEMP, F.col("y_temp").alias("label")).na.drop("any")
+    estimator.save(str(tmp_path / "unfitted"))
+    loaded = type(estimator).load(str(tmp_path / "unfitted"))
+    assert {p.name: v for p, v in loaded.extractParamMap().items()} == {p.name: v for p, v in estimator.extractParamMap().items()}
+    model = model_pipeline(fitting.TEMP, loaded).fit(rows)
+    model.save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    one, other = (m.transform(rows).orderBy("site_id").select("prediction").collect() for m in (model, again))
+    assert one == other and len(one) > 1000
+    empty = model_pipeline(fitting.TEMP, estimator)
+    with pytest.raises(Exception):
+        empty.fit(rows.where("false"))
+
+
+def test_one_job_a_pass_and_equal_results(spark, waves):
+    rows = NetRows.of(waves[0].unionByName(waves[0].limit(3).withColumn("t", F.lit(None).cast("double"))), "x", "t", validation=waves[1])
+    states = {"a": NetState(Net.random(2, [8, 8], "tanh")), "b": NetState(Net.random(2, [4], "relu", 1), 0.001)}
+    spark.sparkContext.setJobGroup("pass", "one pass")
+    one = run_pass(rows, states)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("pass")) <= 2  # adaptive execution may run the shuffle as a job
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    other = run_pass(rows, states)
+    for k in states:
+        assert np.array_equal(one[k][0].vector(), other[k][0].vector()) and one[k][1:] == other[k][1:]
+        assert np.array_equal(run_pass(rows, states, train=False)[k][0].vector(), states[k].vector())
+    rows.release()
 
 
 @pytest.mark.parametrize("activation", ["relu", "tanh", "elu"])
@@ -108,10 +190,12 @@ def test_both_net_engines_agree_and_keep_nulls(spark):
 
 def test_training_lowers_loss_and_stops_early(spark):
     df = spark.range(300).select(F.array(F.sin("id"), F.cos("id")).alias("x"), (F.sin("id") * 2.0).alias("t")).repartition(5)
-    net, history = fit_net(df, "x", "t", Net.random(2, [8], "tanh"), epochs=25, learning_rate=0.1)
+    net, history = fit_net(df, "x", "t", Net.random(2, [8], "tanh"), passes=12, learning_rate=0.05, batch=8)
     assert history[-1]["loss"] < history[0]["loss"] / 10
-    _, short = fit_net(df, "x", "t", net, epochs=25, learning_rate=0.0, validation=df, patience=2, min_delta=1e-3)
+    _, short = fit_net(df, "x", "t", net, passes=25, learning_rate=0.0, validation=df, patience=2, min_delta=1e-3)
     assert len(short) == 3
+    _, tail = fit_net(df.withColumn("k", F.monotonically_increasing_id()), "x", "t", net, passes=2, order=["k"], tail=0.2)
+    assert all("val_loss" in h for h in tail)
 
 
 def test_estimator_factory_builds_from_settings(spark, sf):

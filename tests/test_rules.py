@@ -28,13 +28,12 @@ def scanlines(spark):
 
 
 @pytest.mark.parametrize("few", [0, 10_000])
-def test_raster_plans_agree_on_repeated_and_null_ids(spark, scanlines, monkeypatch, few):
+def test_raster_plans_agree_on_repeated_and_null_ids(spark, scanlines, few):
     points = spark.createDataFrame(
         [(1, 80.0, -170.0), (1, -80.0, 170.0), (1, 80.0, -170.0), (None, 0.0, 0.0), (None, None, 0.0), (2, -90.0, 0.0), (3, 10.0, 181.0), (4, float("nan"), 1.0)],
         "site_id long, lat double, lon double")
     want = plain(raster.coregister(points, scanlines).collect())
-    monkeypatch.setattr(raster, "FEW_POINTS", few)
-    assert plain(raster.coregister(points, scanlines, broadcast_bytes=0).collect()) == want
+    assert plain(raster.coregister(points, scanlines, broadcast_bytes=0, few_points=few).collect()) == want
 
 
 def test_few_points_filter_scanlines_before_any_shuffle(spark, scanlines):
@@ -43,6 +42,13 @@ def test_few_points_filter_scanlines_before_any_shuffle(spark, scanlines):
     assert "BroadcastHashJoin [layer" in plan
 
 
+def test_raster_queries_run_the_plan_they_name(spark, sf):
+    """The tiled query shuffles on (layer, y, tile); the positions query sends positions to the scanlines."""
+    text = {n: joins.QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for n in ("coregister_layers_tiled", "coregister_layers_positions")}
+    assert "tile#" in text["coregister_layers_tiled"] and "tile#" not in text["coregister_layers_positions"]
+    assert "strategy=broadcast" not in text["coregister_layers_tiled"] and "strategy=broadcast" in text["coregister_layers_positions"]
+
+
 @pytest.mark.parametrize("points", [2, 7, 101])
 def test_quantile_plans_are_equal_to_the_bit(spark, points):
     rows = [(k % 3, None if k % 11 == 0 else float("nan") if k % 13 == 0 else math.sin(k) * 10 ** (k % 5), float(k % 4), -0.0 if k % 2 else 0.0, None) for k in range(500)]
@@ -123,6 +129,9 @@ def test_trials_as_tuners_leave_them(spark, tmp_path):
             (folder / "build_config.json").write_text('{"input_shape": [1]}')
     rows = readers.trial_scan(spark, str(tmp_path)).collect()
     assert sorted((r.model, r.trial_id) for r in rows) == [("dust", "0"), ("dust", "1"), ("slope", "0"), ("slope", "1")]
+    (tmp_path / "notes.txt").write_text("no trial")
+    files = {r.file.rsplit("/", 1)[1]: (r.layout, r.model) for r in readers.trial_files(spark, str(tmp_path)).collect()}
+    assert files["notes.txt"] == files["build_config.json"] == (None, None) and files["trial.json"][0] == "tuner"
 
 
 def test_code_reaches_workers_from_another_folder(tmp_path):
