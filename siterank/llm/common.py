@@ -10,11 +10,23 @@ from siterank.session import new_path
 FILTER_BITS = 23
 
 
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder; return it read back, and its path for ``discard``."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; return it read back, and its path for ``discard``.
+
+    With ``free`` the shuffle files of the write are removed as soon as it has ended, as nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_FREE_SHUFFLES, "false")
+    # the setting is taken up when a plan is made: the writer's own plan is made here
+    spark.conf.set(_FREE_SHUFFLES, str(free).lower() if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

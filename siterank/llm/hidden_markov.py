@@ -8,9 +8,10 @@ A state emits ``(1 - u) * ((1 - MIX) * expected count / total + MIX * count / N)
 ``u`` for all others together, its expected share of words met once. These sum to one, as the base's do.
 
 Scale: the vocabulary grows with the corpus and is never broadcast or collected. A block holds its own words once; their
-counts travel as packed arrays by range of the hash and back to the block. A sample, bounded in documents and in tokens of each, only
-chooses the starting point; each pass over all training texts estimates every parameter anew, until their summed likelihood settles.
-Per word of a block a pass shuffles about 40 bytes.
+counts travel as packed arrays by range of the hash and back to the block, as 32-bit floats in which a share under their own precision is zero. The
+first pass takes each training text for one state: the nearest of a few centres, which are chosen and moved over the word profiles of all training
+texts. Each later pass estimates every parameter anew from all of them, until their summed likelihood settles. The files of a
+pass, shuffled ones included, are removed when the next one has ended.
 """
 
 from __future__ import annotations
@@ -26,35 +27,17 @@ from siterank.llm.common import discard, fold, stage
 from siterank.llm.words import text_slices, word_hashes
 
 STATES = 4
-SETTLED = 0.001  # passes end when one raises the mean log-likelihood of a training token by less
-MOST_PASSES = 50
-SAMPLE_ROWS = 800  # documents of the starting point, about
-SAMPLE_TOKENS = 4096  # of each of them, from its beginning
-SAMPLE_ROUNDS = 8
+SETTLED = 0.005  # passes end when one raises the mean log-likelihood of a training token by less
+MOST_PASSES = 12
+PROFILE = 128  # counts of a text's word profile
+CENTRE_ROUNDS = 4
+CENTRE_TOKENS = 64  # texts that may become a centre have at least so many; if none has, any may
 MIX = 0.1
 BLOCK_TOKENS = 2_500_000  # a block ends beyond it
 RANGE_TOKENS = 3_000_000
 END = np.uint64(1)
 _SIDE_BY_SIDE = 1 << 19  # tokens of documents that one sweep takes
-_HALF = 1 / 256  # scale of the expected counts as 16-bit floats
-
-
-@dataclass
-class States:
-    """First-state and transition probabilities, and emissions of the words at ``hashes`` (sorted)."""
-    first: np.ndarray
-    moves: np.ndarray
-    hashes: np.ndarray
-    emits: np.ndarray
-
-    def emissions(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each word and state; one small value where the word is not known, which tells states nothing."""
-        out = np.full((len(hashes), len(self.first)), 1e-9)
-        if len(self.hashes):
-            i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[i] == hashes
-            out[hit] = self.emits[i[hit]]
-        return out
+_PRECISION = 2.0 ** -24  # of a 32-bit float
 
 
 def sweep(ids: np.ndarray, lens: np.ndarray, emits: np.ndarray, first: np.ndarray, moves: np.ndarray, counts: dict | None = None) -> np.ndarray:
@@ -114,36 +97,56 @@ def _normal(x: np.ndarray, prior: float) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def starting_point(hashes: np.ndarray, lens: np.ndarray, states: int, rounds: int = SAMPLE_ROUNDS) -> States:
-    """States of a small sample: documents grouped by their words, then rounds of Baum-Welch."""
-    words, ids = np.unique(hashes, return_inverse=True)
-    if not len(words):
-        return States(np.full(states, 1 / states), np.full((states, states), 1 / states), words, np.zeros((0, states)))
+def profiles(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Word profiles of texts: square roots of counts by hash of the word, of length 1."""
     doc = np.repeat(np.arange(len(lens)), lens)
-    x = np.zeros((len(lens), 512))
-    np.add.at(x, (doc, (hashes >> np.uint64(40)).astype(np.int64) % 512), 1.0)
-    x = np.sqrt(x)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    middle = [x[np.argmax(lens)]]
-    while len(middle) < states:  # a document far from all so far; long ones, since short ones are far from everything
-        far = np.max(x @ np.array(middle).T, axis=1) + (lens < np.median(lens))
-        middle.append(x[np.argmin(far)])
-    middle = np.array(middle)
-    for _ in range(8):
-        group = (x @ middle.T).argmax(axis=1)
-        for k in range(states):
-            if (group == k).any():
-                middle[k] = x[group == k].mean(axis=0)
-    emits = np.stack([np.bincount(ids[group[doc] == k], minlength=len(words)) for k in range(states)], axis=1).astype(float)
-    overall = np.bincount(ids, minlength=len(words)) / len(ids)
-    smooth = lambda e: (1 - MIX) * e / np.maximum(e.sum(axis=0), 1e-9) + MIX * overall[:, None]
-    emits, first = smooth(emits), np.full(states, 1 / states)
-    moves = np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * 0.95
-    for _ in range(rounds):
-        counts = _empty_counts(len(words), states)
-        sweep(ids, lens, emits, first, moves, counts)
-        emits, first, moves = smooth(counts["emits"]), _normal(counts["first"], 0.1), _normal(counts["moves"], 0.1)
-    return States(first, moves, words, emits)
+    counts = np.bincount(doc * PROFILE + (hashes >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=len(lens) * PROFILE).reshape(len(lens), PROFILE)
+    x = np.sqrt(counts)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _profiled(batch: pa.RecordBatch):
+    """(profiles, lengths) of the training texts of each block."""
+    for vectors, held, lens in zip(*(c.to_pylist() for c in batch.columns)):
+        use = ~np.array(held, bool)
+        yield np.frombuffer(vectors, "<f2").reshape(-1, PROFILE).astype(float)[use], np.array(lens)[use]
+
+
+def centres(blocks: DataFrame, states: int) -> np.ndarray:
+    """A centre for each state: texts far from each other, then means of the texts nearest to each. Every training text takes part in every step."""
+    rows = blocks.select("vectors", "held", "lens")
+    found = np.zeros((0, PROFILE))
+
+    def far(batches):
+        for batch in batches:
+            for x, n in _profiled(batch):
+                if len(x):
+                    near = (x @ found.T).max(axis=1) if len(found) else -n.astype(float)
+                    k = int(np.lexsort((near, n < CENTRE_TOKENS))[0])
+                    yield pa.RecordBatch.from_pydict({"short": [bool(n[k] < CENTRE_TOKENS)], "near": [float(near[k])], "x": [x[k].tolist()]})
+
+    for _ in range(states):
+        best = rows.mapInArrow(far, "short boolean, near double, x array<double>").agg(F.min(F.struct("short", "near", "x")).alias("b")).first().b
+        if best is None:
+            return np.zeros((states, PROFILE))
+        found = np.vstack([found, best.x])
+
+    def near(batches):
+        for batch in batches:
+            for x, _ in _profiled(batch):
+                group = (x @ found.T).argmax(axis=1)
+                for k in np.unique(group):
+                    yield pa.RecordBatch.from_pydict({"k": [int(k)], "x": [np.round(x[group == k].sum(axis=0) * 1024) / 1024]},
+                                                     pa.schema([("k", pa.int32()), ("x", pa.list_(pa.float64()))]))
+
+    for _ in range(CENTRE_ROUNDS):
+        sums = rows.mapInArrow(near, "k int, x array<double>").select("k", F.posexplode("x").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+        moved = np.zeros_like(found)
+        for k, i, v in sums:  # states times PROFILE rows
+            moved[k, i] = v
+        norm = np.linalg.norm(moved, axis=1, keepdims=True)
+        found = np.where(norm > 0, moved / np.maximum(norm, 1e-9), found)
+    return found
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -161,12 +164,6 @@ def _tokens(texts: pa.Array):
         yield np.insert(h, at[1:], END), np.diff(at) + 1
 
 
-def beginnings(hashes: np.ndarray, lens: np.ndarray, most: int = SAMPLE_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``most`` tokens of each text, and their number."""
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lens) - lens, lens)
-    return hashes[place < most], np.minimum(lens, most)
-
-
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents in blocks: their tokens as places in the block's own sorted words, and how often training texts hold each."""
     def each(batches):
@@ -177,13 +174,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
             tokens, n = np.concatenate(hashes), np.concatenate(lens)
             words, place = np.unique(tokens, return_inverse=True)
             train = np.bincount(place[np.repeat(~np.array(held, bool), n)], minlength=len(words))
+            seen = np.concatenate([profiles(h, m) for h, m in zip(hashes, lens)]).astype("<f2")
             by_use = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # small numbers for frequent words
             rank = np.empty(len(words), np.int64)
             rank[by_use] = np.arange(len(words))
-            values = [task << 32 | number, ids, held, n.tolist(), len(tokens), _pack(rank[place]), len(words), words.tobytes(), _pack(rank), _pack(train)]
+            values = [task << 32 | number, ids, held, n.tolist(), len(tokens), _pack(rank[place]), len(words), words.tobytes(), _pack(rank), _pack(train), seen.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (
                 pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int32(), pa.binary(),
-                pa.binary(), pa.binary()))], ["block", "ids", "held", "lens", "n", "tokens", "n_words", "words", "ranks", "train"])
+                pa.binary(), pa.binary(), pa.binary()))], ["block", "ids", "held", "lens", "n", "tokens", "n_words", "words", "ranks", "train", "vectors"])
 
         for batch in batches:
             lo = 0
@@ -202,7 +200,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield flush()
 
     return docs.mapInArrow(each, "block long, ids array<long>, held array<boolean>, lens array<int>, n int, tokens binary, n_words int, words binary, "
-                                 "ranks binary, train binary")
+                                 "ranks binary, train binary, vectors binary")
 
 
 PIECES = "range int, block long, n int, words binary, train binary, share binary, path array<double>"
@@ -217,20 +215,50 @@ def _read(row: dict) -> tuple:
     return place[_unpack(row["tokens"], row["n"])], np.array(row["lens"], np.int64), words, _unpack(row["train"], len(words))
 
 
-def _expected(row: dict, emits_of, first, moves, ranges: int) -> list[tuple]:
-    """The expected counts of a block's training texts, cut by range of the hash."""
-    tokens, lens, words, train = _read(row)
-    use = ~np.array(row["held"], bool)
-    counts = _empty_counts(len(words), len(first))
-    like = sweep(tokens[np.repeat(use, lens)], lens[use], emits_of(words), first, moves, counts).sum()
-    half = (counts["emits"] * _HALF).astype("<f2")
+def _pack_share(share: np.ndarray) -> bytes:
+    """Expected counts by word and state, compressed by state and byte; what is under the precision of the word's sum is zero."""
+    exact = np.where(share < share.sum(axis=1, keepdims=True) * _PRECISION, 0.0, share).astype("<f4")
+    return pa.compress(exact.T.copy().view(np.uint8).reshape(share.shape[1], -1, 4).transpose(0, 2, 1).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack_share(packed: bytes, n: int, states: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n * states, "zstd", asbytes=True), np.uint8).reshape(states, 4, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<f4").reshape(states, n).T.astype(np.float64)
+
+
+def _cut(row: dict, words: np.ndarray, train: np.ndarray, counts: dict, like: float, ranges: int) -> list[tuple]:
+    """A block's expected counts by range of the hash."""
     cuts = np.searchsorted(words, np.arange(ranges + 1, dtype=np.uint64)[:-1] * np.uint64((1 << 64) // ranges)).tolist() + [len(words)]
-    out = [(k, row["block"], b - a, words[a:b].tobytes(), _pack(train[a:b]), half[a:b].tobytes(), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    out = [(k, row["block"], b - a, words[a:b].tobytes(), _pack(train[a:b]), _pack_share(counts["emits"][a:b]), None)
+           for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     # what has no word goes with some range; which one does not matter
     path = np.concatenate([counts["first"], counts["moves"].ravel(), [like]]).tolist()
     return [(*out[0][:6], path), *out[1:]] if out else []
 
 
+def _expected(row: dict, model: Totals, total: np.ndarray, share: np.ndarray, ranges: int) -> list[tuple]:
+    """The expected counts of a block's training texts under a model."""
+    tokens, lens, words, train = _read(row)
+    use = ~np.array(row["held"], bool)
+    counts = _empty_counts(len(words), len(model.first))
+    like = sweep(tokens[np.repeat(use, lens)], lens[use], model.emissions(total, share), model.first, model.moves, counts).sum()
+    return _cut(row, words, train, counts, like, ranges)
+
+
+def _grouped(row: dict, middle: np.ndarray, ranges: int) -> list[tuple]:
+    """The counts of a block's training texts, each taken for the state of the nearest centre, which it rarely leaves."""
+    tokens, lens, words, train = _read(row)
+    use, states = ~np.array(row["held"], bool), len(middle)
+    group = (np.frombuffer(row["vectors"], "<f2").reshape(-1, PROFILE).astype(float) @ middle.T).argmax(axis=1)
+    counts = _empty_counts(len(words), states)
+    own = np.repeat(group, lens)[np.repeat(use, lens)]
+    counts["emits"] = np.bincount(tokens[np.repeat(use, lens)] * states + own, minlength=len(words) * states).reshape(-1, states).astype(float)
+    counts["first"] = np.bincount(group[use], minlength=states).astype(float)
+    stay = np.bincount(group[use], np.maximum(lens[use] - 1, 0), states)
+    counts["moves"] = stay[:, None] * (np.full((states, states), 0.05 / max(1, states - 1)) * (1 - np.eye(states)) + np.eye(states) * 0.95)
+    return _cut(row, words, train, counts, 0.0, ranges)
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -244,7 +272,7 @@ def _sums(pieces: DataFrame, states: int) -> DataFrame:
         words = [np.frombuffer(r["words"], np.uint64) for r in rows]
         known, of = np.unique(np.concatenate(words), return_inverse=True)
         train = np.bincount(of, np.concatenate([_unpack(r["train"], r["n"]) for r in rows])).astype(np.int64)
-        share = np.concatenate([np.frombuffer(r["share"], "<f2").reshape(-1, states) for r in rows]).astype(np.float64) / _HALF
+        share = np.concatenate([_unpack_share(r["share"], r["n"], states) for r in rows])
         share = np.stack([np.bincount(of, share[:, k]) for k in range(states)], axis=1)
         stats = [float(train.sum()), float((train > 0).sum()), *share.sum(axis=0), *share[train == 1].sum(axis=0)]
         path = np.sum([r["path"] for r in rows if r["path"]], axis=0).tolist() if any(r["path"] for r in rows) else None
@@ -252,7 +280,7 @@ def _sums(pieces: DataFrame, states: int) -> DataFrame:
         for r in rows:
             i = of[at:at + r["n"]]
             at += r["n"]
-            out.append((r["block"], key[0].as_py(), r["n"], _pack(train[i]), share[i].astype("<f4").tobytes(), None, None))
+            out.append((r["block"], key[0].as_py(), r["n"], _pack(train[i]), _pack_share(share[i]), None, None))
         out[0] = (*out[0][:5], stats, path)
         return _batch(out, SUMS)
 
@@ -295,14 +323,13 @@ def _returned(table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
     """(training counts, expected counts by state) of a block's sorted words, from its ranges."""
     rows = sorted(table.to_pylist(), key=lambda r: r["range"])
     return (np.concatenate([_unpack(r["total"], r["n"]) for r in rows]).astype(np.int64),
-            np.concatenate([np.frombuffer(r["share"], "<f4").reshape(-1, states) for r in rows]).astype(np.float64))
+            np.concatenate([_unpack_share(r["share"], r["n"], states) for r in rows]))
 
 
 def _next_pass(model: Totals, states: int, ranges: int):
     """A block's expected counts under the model of the pass before."""
     def expected(left, right):
-        train, own = _returned(right, states)
-        return _batch(_expected(left.to_pylist()[0], lambda _: model.emissions(train, own), model.first, model.moves, ranges), PIECES)
+        return _batch(_expected(left.to_pylist()[0], model, *_returned(right, states), ranges), PIECES)
     return expected
 
 
@@ -317,39 +344,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks, _ = stage(_blocks(rows), "blocks")
-    size = blocks.agg(F.sum(F.size("ids")), F.sum(F.col("n_words").cast("long"))).first()
-    share = min(1.0, SAMPLE_ROWS / max(1, size[0] or 0))
-
-    def some_tokens(batches):
-        for batch in batches:
-            for h, n in (beginnings(*x) for x in _tokens(batch.column(0))):
-                yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))], ["h", "n"])
-
-    sample = rows.where("not held").where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    taken = sample.mapInArrow(some_tokens, "h binary, n array<long>").collect()
-    start = starting_point(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.h, np.uint64) for r in taken)]),
-                           np.concatenate([np.zeros(0, np.int64), *(np.array(r.n, np.int64) for r in taken)]), states)
-    shared = spark.sparkContext.broadcast(start)
-    ranges = max(12, (size[1] or 0) // RANGE_TOKENS)
+    n_words = blocks.agg(F.sum(F.col("n_words").cast("long"))).first()[0]
+    ranges = max(12, (n_words or 0) // RANGE_TOKENS)
+    middle = centres(blocks, states)
 
     def first_pass(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                model = shared.value
-                yield from _batch(_expected(row, model.emissions, model.first, model.moves, ranges), PIECES).to_batches()
+                yield from _batch(_grouped(row, middle, ranges), PIECES).to_batches()
 
     train_columns = ("block", "held", "lens", "n", "tokens", "n_words", "words", "ranks", "train")
-    sums, path = stage(_sums(blocks.select(*train_columns).mapInArrow(first_pass, PIECES), states), "word-sums")
+    sums, path = stage(_sums(blocks.select(*train_columns, "vectors").mapInArrow(first_pass, PIECES), states), "word-sums", free=True)
     model, before = _totals(sums, states), None
     for _ in range((passes or MOST_PASSES) - 1):
         pieces = blocks.select(*train_columns).groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(
             _next_pass(model, states, ranges), PIECES)
-        sums, next_path = stage(_sums(pieces, states), "word-sums")
+        sums, next_path = stage(_sums(pieces, states), "word-sums", free=True)
         discard(spark, path)
-        del pieces
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the pass
         path, model = next_path, _totals(sums, states)
-        # that of the model before this pass; the first pass has that of the starting point, to which most words are unknown
+        # that of the model before this pass
         if passes is None and before is not None and model.like - before <= SETTLED * model.n:
             break
         before = model.like
