@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siterank.session import new_path
@@ -29,6 +31,17 @@ def stage(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` as a table in the warehouse, bucketed by ``key`` into as many buckets as shuffles have, and read it back.
+
+    Joins and groups by ``key`` then read it in place and shuffle only what meets it.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete written stages that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -34,13 +34,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     spark = edges.sparkSession
     now, path = stage(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-                      .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), "edges")
+                      .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), "edges", free=True)
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = state
-        step, next_path = stage(_stars(_stars(now, True), False), "edges")
+        step, next_path = stage(_stars(_stars(now, True), False), "edges", free=True)
         discard(spark, path)
         now, path = step, next_path

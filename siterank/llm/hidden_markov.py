@@ -10,8 +10,9 @@ A state emits ``(1 - u) * ((1 - MIX) * expected count / total + MIX * count / N)
 Scale: the vocabulary grows with the corpus and is never broadcast or collected. A block holds its own words once; their
 counts travel as packed arrays by range of the hash and back to the block, as 32-bit floats in which a share under their own precision is zero. The
 first pass takes each training text for one state: the nearest of a few centres, which are chosen and moved over the word profiles of all training
-texts. Each later pass estimates every parameter anew from all of them, until their summed likelihood settles. The files of a
-pass, shuffled ones included, are removed when the next one has ended.
+texts. Each later pass estimates every parameter anew from all of them, until their summed likelihood settles. Blocks are a table
+bucketed by their number: a pass reads them where they lie and shuffles counts alone. The files of a pass, shuffled ones
+included, are removed when the next one has ended. Training passes compute with 32-bit floats, the scores with 64-bit ones.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from siterank.llm.common import discard, fold, stage
+from siterank.llm.common import bucketed, discard, fold, stage
 from siterank.llm.words import text_slices, word_hashes
 
 STATES = 4
@@ -33,7 +34,7 @@ PROFILE = 128  # counts of a text's word profile
 CENTRE_ROUNDS = 4
 CENTRE_TOKENS = 64  # texts that may become a centre have at least so many; if none has, any may
 MIX = 0.1
-BLOCK_TOKENS = 2_500_000  # a block ends beyond it
+BLOCK_TOKENS = 1_500_000  # a block ends beyond it
 RANGE_TOKENS = 3_000_000
 END = np.uint64(1)
 _SIDE_BY_SIDE = 1 << 19  # tokens of documents that one sweep takes
@@ -70,13 +71,13 @@ def sweep(ids: np.ndarray, lens: np.ndarray, emits: np.ndarray, first: np.ndarra
                 words.append(w)
         out[own] = like
         if counts is not None:
-            after = np.ones((running[-1], len(first)))
-            pairs = np.zeros_like(moves)
+            after = np.ones((running[-1], len(first)), emits.dtype)
+            pairs = np.zeros(moves.shape)
             for t in range(len(running) - 1, -1, -1):
                 if t + 1 < len(running):
                     k, ahead = running[t + 1], emits[words[t + 1]] * after / scales[t + 1][:, None]
                     pairs += kept[t][:k].T @ ahead
-                    after = np.ones((running[t], len(first)))
+                    after = np.ones((running[t], len(first)), emits.dtype)
                     after[:k] = ahead @ moves.T
                 kept[t] *= after
             counts["first"] += kept[0].sum(axis=0)
@@ -241,7 +242,8 @@ def _expected(row: dict, model: Totals, total: np.ndarray, share: np.ndarray, ra
     tokens, lens, words, train = _read(row)
     use = ~np.array(row["held"], bool)
     counts = _empty_counts(len(words), len(model.first))
-    like = sweep(tokens[np.repeat(use, lens)], lens[use], model.emissions(total, share), model.first, model.moves, counts).sum()
+    emits = model.emissions(total, share).astype(np.float32)
+    like = sweep(tokens[np.repeat(use, lens)], lens[use], emits, model.first.astype(np.float32), model.moves.astype(np.float32), counts).sum()
     return _cut(row, words, train, counts, like, ranges)
 
 
@@ -343,7 +345,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks, _ = stage(_blocks(rows), "blocks")
+    blocks = bucketed(_blocks(rows), "blocks", "block")
     n_words = blocks.agg(F.sum(F.col("n_words").cast("long"))).first()[0]
     ranges = max(12, (n_words or 0) // RANGE_TOKENS)
     middle = centres(blocks, states)

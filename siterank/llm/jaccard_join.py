@@ -26,9 +26,9 @@ from siterank.llm.words import shingle_sets
 
 PERCENT = 75
 # The global order puts frequent shingles last, which keeps common passages out of the postings; any order gives the same
-# links. Counts are of all documents up to this number, beyond it of a share of them chosen by a hash of the id.
-ORDER_ROWS = 4_000_000
+# links. Counts are of all documents; the most frequent shingles are listed, those beyond the list keep the order of their hashes.
 FREQUENT = 2_000_000  # most shingles listed and broadcast, 6 bytes each
+CHUNK_SETS = 512  # sets of a chunk of a posting; a task compares two chunks
 LEAST = 3  # documents that hold a listed shingle
 _RANGE_ROWS = 4000  # documents for each range of hashes that one task counts
 _BATCH = 1 << 21  # shingles counted together before the shuffle
@@ -45,15 +45,12 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """The upper halves of the hashes of frequent shingles, sorted, and in how many documents each occurs.
 
     Counts are pre-aggregated over batches and dealt by ranges of the hash, so a range holds a shingle once for each batch.
     """
-    total = docs.count()
-    share = min(1.0, ORDER_ROWS / max(1, total))
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text_col)
-    ranges = max(16, min(total, ORDER_ROWS) // _RANGE_ROWS)
+    ranges = max(16, docs.count() // _RANGE_ROWS)
     edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 32) // ranges)
 
     def count(batches):
@@ -87,7 +84,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, id_col: str) -> tuple[np.n
         keep = np.sort(keep[np.argsort(-c[keep].astype(np.int64), kind="stable")[:FREQUENT // ranges]])
         return pa.table({"hashes": pa.array([h[keep].tobytes()], pa.binary()), "counts": pa.array([c[keep].tobytes()], pa.binary())})
 
-    packed = (some.mapInArrow(count, "range int, n int, hashes binary, counts binary")
+    packed = (docs.select(text_col).mapInArrow(count, "range int, n int, hashes binary, counts binary")
               .groupBy("range").applyInArrow(total_up, "hashes binary, counts binary").collect())
     h = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r.hashes, np.uint32) for r in packed)])
     c = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r.counts, np.uint16) for r in packed)])
@@ -212,9 +209,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    hot = spark.sparkContext.broadcast(frequent_shingles(docs, "text", "id"))
-    sets, _ = stage(_postings(docs, "id", "text", hot, percent), "shingle-sets")
-    classes, _ = stage(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "set-classes")
+    hot = spark.sparkContext.broadcast(frequent_shingles(docs, "text"))
+    sets, _ = stage(_postings(docs, "id", "text", hot, percent), "shingle-sets", free=True)
+    classes, _ = stage(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "set-classes", free=True)
 
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"))
     copies = sets.select("id", "digest").join(classes, "digest").where("id != rep").select("id").join(reps, "id", "left_anti")
@@ -224,7 +221,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = posted.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
     some = marked(posted, several, "shingle").where("_hit").drop("_hit")
     common = some.groupBy("shingle").agg(F.min(F.struct("id", "n", "pos")).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    shared, shared_path = stage(some.join(common, "shingle").select("shingle", "id", "n", "pos", "first"), "shared-shingles")
+    shared, shared_path = stage(some.join(common, "shingle").select("shingle", "id", "n", "pos", "first"), "shared-shingles", free=True)
 
     def reach(x: str, y: str):
         """Whether two sets could link if this posting is the first that they share: enough shingles follow it in both."""
@@ -235,20 +232,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = (shared.where(F.col("id") != F.col("first.id")).where(reach("", "first."))
             .groupBy(F.col("id").alias("a"), F.col("first.id").alias("b")).agg(F.count("*").alias("m"))
             .groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")))
-    near, near_path = stage(near, "near")
-    links, links_path = stage(_verified(near, docs, hot, percent), "links")
+    near, near_path = stage(near, "near", free=True)
+    links, links_path = stage(_verified(near, docs, hot, percent), "links", free=True)
     stars = components(links, "a", "b")
 
     # postings on which components meet: their sets are still to be compared with each other
     named = looked_up(shared.drop("first"), stars.withColumnRenamed("node", "id"), "id").select(
         "shingle", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     meet = named.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-    met, met_path = stage(named.join(meet, "shingle"), "met-shingles")
-    left, right = met.alias("x"), met.alias("y")
-    apart = (left.join(right, F.expr("x.shingle = y.shingle and x.c < y.c")).where(reach("x.", "y."))
+    met, met_path = stage(named.join(meet, "shingle"), "met-shingles", free=True)
+    # a posting is cut into chunks and each pair of chunks is a join of its own, so that one of very many sets is spread over the tasks
+    sizes = met.groupBy("shingle").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("chunks"))
+    dealt = met.join(sizes, "shingle").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("shingle", "id", "n", "pos", "c", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("to")).select(
+        "shingle", "id", "n", "pos", "c", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi"))
+    left, right = dealt.alias("x"), dealt.alias("y")
+    same = "x.shingle = y.shingle and x.lo = y.lo and x.hi = y.hi and x.c < y.c and (x.lo = x.hi or x.chunk != y.chunk)"
+    apart = (left.join(right, F.expr(same)).where(reach("x.", "y."))
               .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
-    apart, apart_path = stage(apart, "apart")
-    more, more_path = stage(_verified(apart, docs, hot, percent), "links")
+    apart, apart_path = stage(apart, "apart", free=True)
+    more, more_path = stage(_verified(apart, docs, hot, percent), "links", free=True)
     whole = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
 
     ends = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -4,7 +4,8 @@ A document's coordinate for a term depends on its count and on the document's le
 is their inner product, in whole numbers. Each task gathers its documents' vectors in blocks and builds a ball tree over each: a
 node has the mean of its vectors and the largest distance from it, and halves its vectors along the line between two far ones. For an item
 the nodes are opened best first; a node is left with all its documents if ``item * mean + |item| * radius``, rounded up, is below
-the item's least kept score. Leaves are scored exactly. What an item has found goes on from block to block of a task, so later blocks
+the item's least kept score. The ball of a few long texts is wide, so the node's largest coordinates bound it a second time: no
+document scores above their product with the item. Leaves are scored exactly. What an item has found goes on from block to block of a task, so later blocks
 are pruned harder. Only the kept rows of each task are shuffled.
 
 Vectors hold the terms of the items alone, which leaves every score as it is. Items are taken in blocks of bounded size, each against all documents.
@@ -27,7 +28,7 @@ TOP = 20
 BLOCK_ITEMS = 2048  # items whose terms are sent to the tasks at once
 BLOCK_DOCS = 20_000  # documents of a tree, unless their terms reach the next bound first
 BLOCK_TERMS = 2_000_000
-LEAF_DOCS = 64
+LEAF_DOCS = 16
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _APART = ~((_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_LOWER >= 97) & (_LOWER <= 122)))
@@ -109,6 +110,12 @@ class BallTree:
         a, b = self.at[lo], self.at[hi]
         return np.add.reduceat(self.values[a:b] * dense[self.codes[a:b]], self.at[lo:hi] - a)
 
+    @staticmethod
+    def _products(items: Items, dense: np.ndarray, more) -> np.ndarray:
+        """Inner products of all items with ``dense``, and ``more``, rounded up."""
+        sums = np.concatenate([[0.0], np.cumsum(items.weights * dense[items.codes])])
+        return (sums[items.at[1:]] - sums[items.at[:-1]] + more) * (1 + 1e-9) + 1e-9 * sums[-1] + 1.0
+
     def _dense(self, row: int, size: int) -> np.ndarray:
         out = np.zeros(size)
         out[self.codes[self.at[row]:self.at[row + 1]]] = self.values[self.at[row]:self.at[row + 1]]
@@ -122,9 +129,9 @@ class BallTree:
         apart = squares - 2 * np.add.reduceat(values * mean[self.codes[a:b]], starts) + own
         # the difference of squares may lose its last digits: they are given back, so that the radius is never too small
         radius = math.sqrt(max(0.0, float(apart.max())) + 1e-9 * (float(squares.max()) + own))
-        products = items.weights * mean[items.codes]
-        sums = np.concatenate([[0.0], np.cumsum(products)])
-        bounds = (sums[items.at[1:]] - sums[items.at[:-1]] + norms * radius) * (1 + 1e-9) + 1e-9 * sums[-1] + 1.0
+        most = np.zeros(size)
+        np.maximum.at(most, self.codes[a:b], values)
+        bounds = np.minimum(self._products(items, mean, norms * radius), self._products(items, most, 0.0))
         node = len(self.nodes)
         self.nodes.append((lo, hi, ()))
         self.bounds.append(bounds)

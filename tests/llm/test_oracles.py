@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, sf, con, name):
     assert compare.differences(queries.QUERIES[name](spark, sf), con, queries.ORACLES[name]) == []
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
