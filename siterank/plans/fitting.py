@@ -424,3 +424,30 @@ def predict_sites_fitted(spark, sf):
     out = serve(views.sites(spark, sf), load_state(spark, path))
     return out.select("site_id", *(r(p, 5) for p in PROPERTIES), "landing_score", F.col("surface_temp_source").alias("temp_source"),
                       F.col("thermal_inertia_source").alias("inertia_source"), F.col("dust_source"))
+
+
+REGRESSED_SPECS = (PropertySpec("surface_temp", "y_temp", ("elevation",)), PropertySpec("thermal_inertia", "y_inertia", ("tempRange",), "log"))
+
+
+def regressed_state(spark, sf) -> ServingState:
+    """Rule nets with two fitted regressors, after a round trip through their store."""
+    rows, path = views.samples(spark, sf), new_path(spark, "regressed-state")
+    save_state(spark, ServingState(NETS, regressors={s.name: fit(s, rows)[0] for s in REGRESSED_SPECS}), path)
+    return load_state(spark, path)
+
+
+# least squares in one input has a closed form
+LEAST_SQUARES = f"""ls AS (SELECT regr_slope(y_temp, elevation) AS t1, regr_intercept(y_temp, elevation) AS t0,
+  regr_slope(ln(1E0 + y_inertia), "tempRange") AS i1, regr_intercept(ln(1E0 + y_inertia), "tempRange") AS i0
+  FROM (SELECT elevation, y_temp, CASE WHEN "tempRange" IS NOT NULL THEN y_inertia END AS y_inertia, "tempRange" FROM samples
+        WHERE {HASH.format(seed=42)} >= 0.2::DOUBLE))"""
+REGRESSED = ("t0 + t1*elevation", 'exp(i0 + i1*"tempRange") - 1E0')
+
+
+@query("predict_sites_regressed", f"""WITH {OVERRIDDEN}, {LEAST_SQUARES}, inputs AS (SELECT * FROM filled, ls),
+{served_sql('inputs', *REGRESSED)}
+SELECT site_id, {', '.join(f'{rs(p, 5)} AS {p}' for p in PROPERTIES)}, landing_score, {BAND} FROM served""")
+def predict_sites_regressed(spark, sf):
+    """Serving with fitted regressors inside the plan: no join, no shuffle after the sites."""
+    out = serve(views.sites(spark, sf), regressed_state(spark, sf))
+    return out.select("site_id", *(r(p, 5) for p in PROPERTIES), "landing_score", "band")

@@ -17,20 +17,19 @@ from siterank.plans.aggregates import PREDICTED, predicted
 from siterank.plans.joins import CATALOG, SAMPLED, WIDE, doubles
 from siterank.plans.registry import (
     PROPERTIES_SQL, SAMPLES, SCORED_SQL, SITES, TRANSECT, norm_sql, properties, query, r, rs, score_sql, scored)
+from siterank.session import new_path
 from siterank.sources import readers, views
 
 
 @query("union_regions", f"""WITH {TRANSECT}
 SELECT region, seq, elevation, CASE WHEN region IN ('click', 'purchase') THEN event_id END AS event_id FROM transect""")
 def union_regions(spark, sf):
-    """Region tables with unequal columns, concatenated by name."""
-    rows = views.transect(spark, sf)
-    names = [x.event_type for x in views.table(spark, sf, "events").select("event_type").distinct().collect()]
-    parts = {}
-    for n in names:
-        part = rows.filter(F.col("region") == n).drop("region")
-        parts[n] = part if n in ("click", "purchase") else part.drop("event_id")
-    return clean.union_regions(parts).select("region", "seq", "elevation", "event_id")
+    """Region folders with unequal columns, read by one scan and concatenated by name."""
+    rows, path = views.transect(spark, sf), new_path(spark, "regions")
+    wide = F.col("region").isin("click", "purchase")
+    rows.where(wide).write.partitionBy("region").parquet(path)
+    rows.where(~wide).drop("event_id").write.mode("append").partitionBy("region").parquet(path)
+    return readers.union_region_files(spark, path).select("region", "seq", "elevation", "event_id")
 
 
 @query("log_target", f"WITH {SAMPLES} SELECT site_id, {rs('ln(1E0 + y_slope)')} AS y_log FROM samples")

@@ -31,6 +31,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         # no call-site capture for each column expression: plans build faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "siterank-warehouse"))
         .getOrCreate()
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -38,27 +37,31 @@ def csv_scan(spark: SparkSession, path: str | Sequence[str], schema, encoding: s
 
 
 def csv_scan_encoding(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Header CSV files, each read as UTF-8 or, where it is not valid UTF-8, as latin-1.
+    """Header CSV files, each read as UTF-8 or, where any of its lines is not valid UTF-8, as latin-1.
 
-    Validity is tested line by line, so large files stay split. Only the names of the
-    latin-1 files and the file list, which the scan itself needs, reach the driver.
+    One plan: files are read as lines, split like any text. A first scan gives a row for each file, its header line and whether it is
+    latin-1; it is joined to the lines, which are then decoded and parsed. Lines equal to their file's header are no rows.
     """
-    lines = spark.read.text(path)
-    bad = (lines.filter(~F.is_valid_utf8(F.col("value"))).select(F.col("_metadata.file_path").alias("f"))
-           .distinct().collect())
-    if not bad:
-        return csv_scan(spark, path, schema)
-    latin = {_location(r.f) for r in bad}
-    files = [_location(f) for f in lines.inputFiles()]
-    out = csv_scan(spark, [f for f in files if f in latin], schema, "ISO-8859-1")
-    utf8 = [f for f in files if f not in latin]
-    return csv_scan(spark, utf8, schema).unionByName(out) if utf8 else out
-
-
-def _location(uri: str) -> str:
-    """One spelling of a file name: sources differ in slashes and escapes."""
-    u = urlsplit(uri)
-    return f"{u.scheme}://{u.netloc}{unquote(u.path)}" if u.scheme else uri
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    files = lines.withColumn("_line", F.monotonically_increasing_id()).groupBy("_file").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("_latin"),
+        # the first line of a file is the first one of its first block
+        F.min_by("value", F.struct("_start", "_line")).alias("_header"))
+    rows = lines.drop("_start").join(files, "_file").where((F.col("value") != F.col("_header")) & (F.trim("value") != ""))
+    text = F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
+    ddl = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return rows.select(F.from_csv(text, ddl).alias("_row")).select("_row.*")
+
+
+def union_region_files(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet tables of regions below ``path`` as one table, by column name; a column that a region lacks is null there.
+
+    One scan: ``region`` comes from folders ``region=<name>``, or is the name of the folder that holds a file.
+    """
+    rows = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    region = F.try_url_decode(F.regexp_replace(F.regexp_replace(folder, "^region=", ""), r"\+", "%2B"))
+    return rows.withColumn("region", region)
 
 
 def csv_scan_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from siterank.operators.clean import route
 from siterank.operators.dense_net import Net
 from siterank.operators.raster import Stack, coregister
 from siterank.plans.serving import predict_sites
+from siterank.plans.state import ServingState
 from siterank.sources.readers import decode_requests
 
 REQUEST_SCHEMA = "request_id long, source string, body string"
@@ -22,14 +23,14 @@ def route_requests(requests: DataFrame) -> DataFrame:
     return route(decode_requests(requests))
 
 
-def score_routed(routed: DataFrame, nets: Mapping[str, Net]) -> tuple[DataFrame, DataFrame]:
+def score_routed(routed: DataFrame, nets: Mapping[str, Net] | ServingState) -> tuple[DataFrame, DataFrame]:
     """(scored, quarantine) of routed requests."""
     good = routed.filter("status = 200").drop("_corrupt", "status", "error", "body")
     bad = routed.filter("status <> 200").select("request_id", "source", "status", "error")
     return predict_sites(good, nets, key="request_id"), bad
 
 
-def score_requests(requests: DataFrame, nets: Mapping[str, Net]) -> tuple[DataFrame, DataFrame]:
+def score_requests(requests: DataFrame, nets: Mapping[str, Net] | ServingState) -> tuple[DataFrame, DataFrame]:
     """(scored, quarantine) of request rows; the same plan for batches and tables."""
     return score_routed(route_requests(requests), nets)
 
@@ -40,7 +41,7 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
     query.awaitTermination()
 
 
-def stream_score(spark: SparkSession, source: str, nets: Mapping[str, Net], target: str,
+def stream_score(spark: SparkSession, source: str, nets: Mapping[str, Net] | ServingState, target: str,
                  files_per_batch: int = 100) -> tuple[str, str]:
     """Score a folder of request files as they arrive; returns the two sink paths.
 

@@ -202,3 +202,14 @@ def test_estimator_factory_builds_from_settings(spark, sf):
     spec = PropertySpec("t", "y_temp", ("elevation", "albedo"), settings={"maxIter": 3},
                         factory=lambda s: GBTRegressor(labelCol="label", featuresCol="features", **s))
     assert fit_property(spec, views.samples(spark, sf))[0].model.stages[-1].getNumTrees == 3
+
+
+def test_serving_with_regressors_has_no_shuffle(spark, sf):
+    state = fitting.regressed_state(spark, sf)
+    assert set(state.regressors) == {"surface_temp", "thermal_inertia"}
+    from siterank.plans.serving import predict_sites
+    sites = views.sites(spark, sf).select("*")
+    path_free = spark.createDataFrame(sites.limit(50).collect(), sites.schema)
+    out = predict_sites(path_free, state)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("surface_temp_xgb is null or thermal_inertia_xgb is null").count() == 0

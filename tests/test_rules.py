@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siterank.functions import scoring
 from siterank.operators import clean, quantiles, raster, tuning
 from siterank.operators.dense_net import Net, net_column
+from siterank.plans.catalog import QUERIES
 from siterank.sources import readers
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,7 +45,7 @@ def test_few_points_filter_scanlines_before_any_shuffle(spark, scanlines):
 
 def test_raster_queries_run_the_plan_they_name(spark, sf):
     """The tiled query shuffles on (layer, y, tile); the positions query sends positions to the scanlines."""
-    text = {n: joins.QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for n in ("coregister_layers_tiled", "coregister_layers_positions")}
+    text = {n: QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for n in ("coregister_layers_tiled", "coregister_layers_positions")}
     assert "tile#" in text["coregister_layers_tiled"] and "tile#" not in text["coregister_layers_positions"]
     assert "strategy=broadcast" not in text["coregister_layers_tiled"] and "strategy=broadcast" in text["coregister_layers_positions"]
 
