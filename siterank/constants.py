@@ -104,5 +104,10 @@ EARLY_STOP = {
     "thermal_inertia": (10, 1e-4), "water": (10, 1e-4),
 }
 
+# Error texts of responses, which clients match.
+LOADING = "Models are still loading. Please try again in a moment."
+BAD_BODY = "Invalid JSON in request body"
+NOT_JSON = "Request must be JSON"
+
 # Probability below (or above one minus) which the normal transform is clipped.
 QUANTILE_EDGE = 1e-7

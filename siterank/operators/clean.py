@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siterank.constants import REGRESSOR_FALLBACK
+from siterank.constants import BAD_BODY, LOADING, NOT_JSON, REGRESSOR_FALLBACK
 from siterank.functions.features import defaulted_count, filled
 
 
@@ -78,10 +78,10 @@ def route(df: DataFrame, ready: Column | bool = True) -> DataFrame:
     closed = F.col("body").rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$")
     unusable = broken & closed & is_json(F.col("body"))
     cases = (
-        (~ready, 503, "Models are still loading. Please try again in a moment."),
-        (empty, 400, "Invalid JSON in request body"),
+        (~ready, 503, LOADING),
+        (empty, 400, BAD_BODY),
         (unusable, 500, "Record could not be read"),
-        (broken, 400, "Request must be JSON"),
+        (broken, 400, NOT_JSON),
     )
     status, error = F, F
     for test, code, text in cases:
