@@ -74,11 +74,17 @@ def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return marked(df, keys, key).where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_semi")
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that a caller's names never meet an operator's own; ``select("_row.*")`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Left anti join of wide rows: only rows that may match are shuffled, the others pass as they are."""
-    found = marked(df, keys, key)
-    return (found.where("not _hit").drop("_hit")
-            .unionByName(found.where("_hit").drop("_hit").join(keys.select(key).distinct(), key, "left_anti")))
+    """Left anti join of wide rows: only rows that may match are shuffled, the others pass as they are. Columns may have any names."""
+    named = keys.select(F.col(key).alias("_key"))
+    found = marked(df.select(as_row(df), F.col(f"`{key}`").alias("_key")), named, "_key")
+    rest = found.where("_hit").join(named.distinct(), "_key", "left_anti")
+    return found.where("not _hit").select("_row.*").unionByName(rest.select("_row.*"))
 
 
 def looked_up(df: DataFrame, small: DataFrame, key: str) -> DataFrame:

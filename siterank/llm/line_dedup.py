@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siterank.llm.common import discard, matching, stage
+from siterank.llm.common import as_row, discard, matching, stage
 from siterank.llm.words import mix
 
 MIN_CHARS = 20  # shorter lines (headings, list marks, blank lines) are never removed
@@ -133,11 +133,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_removed`` are replaced.
     """
     gone = repeated_lines(docs, id_col, text_col, min_chars, repeat_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("number").alias("_gone"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    from_docs = docs.select(*columns)
-    joined = from_docs.join(gone, from_docs[id_col].cast("long") == gone["_doc"], "left").drop("_doc")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
+    joined = docs.select(as_row(docs), F.col(f"`{id_col}`").cast("long").alias("_doc")).join(gone, "_doc", "left")
+    text = F.col(f"_row.`{text_col}`")
+    parts = F.split(text.cast("string"), "\n")
     kept = F.concat_ws("\n", F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)))
-    return joined.withColumn("n_lines", F.when(F.col(text_col).isNotNull(), F.size(parts)).otherwise(0)).withColumn(
-        "n_removed", F.coalesce(F.size("_gone"), F.lit(0))).withColumn(
-        text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")}
+    columns[text_col] = F.when(F.col("_gone").isNull(), text).otherwise(kept)
+    return joined.select(*(v.alias(c) for c, v in columns.items()), F.when(text.isNotNull(), F.size(parts)).otherwise(0).alias("n_lines"),
+                         F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))

@@ -8,14 +8,14 @@ block is drawn again before all others. Slots and blocks then join by index.
 
 Scale: sums within a source run over buckets of about ``BUCKET`` documents and then over the buckets; slots
 are made in chunks; both are spread by (source, bucket or chunk), so a source with a third of all rows has
-no task of its own.
+no task of its own. Tables that grow with the documents (blocks, offsets, shares) meet in shuffle joins, never in a broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siterank.llm.common import stage
+from siterank.llm.common import as_row, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
@@ -71,7 +71,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
         "src", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     within = W.partitionBy("src", "bucket").orderBy("key", "id", "size", *names).rowsBetween(W.unboundedPreceding, -1)
     placed = (named.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-              .join(offsets, ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("inner"))
+              .join(offsets.hint("merge"), ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("inner"))
               .drop("inner", "offset", "bucket", "key", "n_docs"))
     return stage(placed, "placed")[0], sources
 
@@ -122,9 +122,9 @@ def _taken(placed: DataFrame, sources: DataFrame, max_passes: int, block_words:
         F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
     words = (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
              - F.greatest(F.col("start"), F.col("block") * block_words))
-    taken = (spans.join(times, ["src", "block"]).groupBy("src", "start", "id", "size")
+    taken = (spans.join(times.hint("merge"), ["src", "block"]).groupBy("src", "start", "id", "size")
              .agg(F.sum(words * F.col("times")).alias("taken")))
-    some = placed.where("size > 0").join(taken.drop("id"), ["src", "start", "size"], "left")
+    some = placed.where("size > 0").join(taken.drop("id").hint("merge"), ["src", "start", "size"], "left")
     return some.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).unionByName(
         placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
@@ -141,12 +141,12 @@ def _copies(rows: DataFrame) -> DataFrame:
     keyed = keyed.select("src", "size", "h1", "h2", "m", F.expr("t div size").alias("whole"), F.expr(f"(t % size) * {1 << 30}L div size").alias("share"))
     keyed, _ = stage(keyed, "shares")
     parts = keyed.groupBy("src", "size").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
-    keyed = keyed.join(parts, ["src", "size"]).withColumn("part", F.pmod("h1", F.col("parts"))).drop("parts")
+    keyed = keyed.join(parts.hint("merge"), ["src", "size"]).withColumn("part", F.pmod("h1", F.col("parts"))).drop("parts")
     before = W.partitionBy("src").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)
     offsets = keyed.groupBy("src", "size", "part").agg(F.sum("share").alias("s")).select(
         "src", "size", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     within = W.partitionBy("src", "size", "part").orderBy("h1", "h2").rowsBetween(W.unboundedPreceding, 0)
-    summed = keyed.withColumn("inner", F.sum("share").over(within)).join(offsets, ["src", "size", "part"]).withColumn(
+    summed = keyed.withColumn("inner", F.sum("share").over(within)).join(offsets.hint("merge"), ["src", "size", "part"]).withColumn(
         "upto", F.col("offset") + F.col("inner") + F.lit(1 << 29))
     more = F.floor(F.col("upto") / one) - F.floor((F.col("upto") - F.col("share")) / one)
     return summed.select("h1", "h2", "m", (F.col("whole") + more).alias("n")).where("n > 0")
@@ -167,11 +167,10 @@ def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed, sources = _placed(docs, id_col, text_col, source_col, weights, max_passes, (h1, h2))
     times, _ = stage(_copies(_taken(placed, sources, max_passes, block_words, seed)).select(
         F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("m").alias("_m"), F.col("n").alias("_n")), "copies")
-    named = docs.withColumns({"_h1": h1, "_h2": h2})
+    named = docs.select(as_row(docs), h1.alias("_h1"), h2.alias("_h2"))
     out = named.join(times.where("_m = 1"), ["_h1", "_h2"]).withColumn("_times", F.col("_n"))
     if not times.where("_m > 1").isEmpty():
-        place = F.row_number().over(W.partitionBy("_h1", "_h2").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+        place = F.row_number().over(W.partitionBy("_h1", "_h2").orderBy(F.xxhash64("_row")))
         out = out.unionByName(named.join(times.where("_m > 1"), ["_h1", "_h2"]).withColumn(
             "_times", F.expr("_n div _m") + F.when(place <= F.col("_n") % F.col("_m"), 1).otherwise(0)))
-    return out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(
-        *(F.col(f"`{c}`") for c in docs.columns))
+    return out.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "And the long tale of words goes on " * 3000
+# names that operators use inside
+INNER = ("_gone", "_doc", "_hit", "_word", "_bits", "_key", "_n", "_m", "_h1", "_h2", "_times", "_copy", "_row2")
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, id long, n int, h1 string, doc string, number int, size int, "
-          "block string, score string, features string, b string, `a b` int")
+          "block string, score string, features string, b string, `a b` int" + "".join(f", {c} int" for c in INNER))
 
 
 def odd_rows():
@@ -20,7 +22,7 @@ def odd_rows():
         (16, "Released under the MIT License."), (None, "a row without an id has some words too"), (17, "\n\n\n"), (18, "line one is here\r\nline two is here as well\r\n"),
     ]
     langs, sources = ["en", "de", None], ["s1", None, "", "s2"]
-    return [(i, t, langs[k % 3], sources[k % 4], None if t is None else len(t), k, 3, "h", "d", 9, 8, "z", "s", "f", "b", 1) for k, (i, t) in enumerate(texts)]
+    return [(i, t, langs[k % 3], sources[k % 4], None if t is None else len(t), k, 3, "h", "d", 9, 8, "z", "s", "f", "b", 1, *range(len(INNER))) for k, (i, t) in enumerate(texts)]
 
 
 def odd_docs(spark):

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from helpers import no_docs, odd_docs, smallest_reachable
+from helpers import INNER, no_docs, odd_docs, smallest_reachable
 from test_documents import plain_dedup
 
 from siterank.llm import langid
@@ -45,3 +45,21 @@ def test_odd_and_empty_documents(spark, sf):
         for name, function in corpus_pipeline.STAGES:
             docs, _ = stage(function(spark, docs, sf), f"odd-{name}")
             docs.count()
+
+
+def test_callers_columns_keep_their_values(spark, sf):
+    """Columns named like an operator's own come out as they went in."""
+    docs = odd_docs(spark)
+    for name in ("line_dedup", "jaccard_join", "mix_sources"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.select(*INNER).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(range(len(INNER)))]
+
+
+def test_repeated_and_missing_ids(spark, sf):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (3, "other words than those above are here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in rows if i != 2)
