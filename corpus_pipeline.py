@@ -29,8 +29,11 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: that with the smallest id."""
-    dropped = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    """One document of each group of linked documents stays: that with the smallest id.
+
+    Rows that repeat an id are one document and stay or go together. Rows without an id stay: nothing names them.
+    """
+    dropped, _ = stage(jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id"), "pipeline-dropped", free=True)
     return without(docs, dropped, "doc_id").select(docs.columns)
 
 
@@ -63,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result of each is written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
-        docs, _ = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, _ = stage(function(spark, docs, sf_dir), f"pipeline-{name}", free=True)
     return docs
