@@ -209,11 +209,14 @@ SUMS = "block long, range int, n int, total binary, share binary, stats array<do
 
 
 def _read(row: dict) -> tuple:
-    """(tokens as places in the sorted words, lengths, words, training counts)"""
+    """(tokens as ranks of their words by use, lengths, words, training counts, place of each rank in the sorted words).
+
+    Sweeps work on tables in the order of the ranks: the rows of frequent words lie together and stay in the cache.
+    """
     words = np.frombuffer(row["words"], np.uint64)
     place = np.empty(len(words), np.int64)
     place[_unpack(row["ranks"], len(words))] = np.arange(len(words))
-    return place[_unpack(row["tokens"], row["n"])], np.array(row["lens"], np.int64), words, _unpack(row["train"], len(words))
+    return _unpack(row["tokens"], row["n"]).astype(np.int32), np.array(row["lens"], np.int64), words, _unpack(row["train"], len(words)), place
 
 
 def _pack_share(share: np.ndarray) -> bytes:
@@ -239,22 +242,25 @@ def _cut(row: dict, words: np.ndarray, train: np.ndarray, counts: dict, like: fl
 
 def _expected(row: dict, model: Totals, total: np.ndarray, share: np.ndarray, ranges: int) -> list[tuple]:
     """The expected counts of a block's training texts under a model."""
-    tokens, lens, words, train = _read(row)
+    tokens, lens, words, train, place = _read(row)
     use = ~np.array(row["held"], bool)
     counts = _empty_counts(len(words), len(model.first))
-    emits = model.emissions(total, share).astype(np.float32)
+    emits = model.emissions(total, share).astype(np.float32)[place]
     like = sweep(tokens[np.repeat(use, lens)], lens[use], emits, model.first.astype(np.float32), model.moves.astype(np.float32), counts).sum()
+    by_rank, counts["emits"] = counts["emits"], np.empty_like(counts["emits"])
+    counts["emits"][place] = by_rank
     return _cut(row, words, train, counts, like, ranges)
 
 
 def _grouped(row: dict, middle: np.ndarray, ranges: int) -> list[tuple]:
     """The counts of a block's training texts, each taken for the state of the nearest centre, which it rarely leaves."""
-    tokens, lens, words, train = _read(row)
+    tokens, lens, words, train, place = _read(row)
     use, states = ~np.array(row["held"], bool), len(middle)
     group = (np.frombuffer(row["vectors"], "<f2").reshape(-1, PROFILE).astype(float) @ middle.T).argmax(axis=1)
     counts = _empty_counts(len(words), states)
     own = np.repeat(group, lens)[np.repeat(use, lens)]
-    counts["emits"] = np.bincount(tokens[np.repeat(use, lens)] * states + own, minlength=len(words) * states).reshape(-1, states).astype(float)
+    by_rank = np.bincount(tokens[np.repeat(use, lens)] * states + own, minlength=len(words) * states).reshape(-1, states)
+    counts["emits"][place] = by_rank
     counts["first"] = np.bincount(group[use], minlength=states).astype(float)
     stay = np.bincount(group[use], np.maximum(lens[use] - 1, 0), states)
     counts["moves"] = stay[:, None] * (np.full((states, states), 0.05 / max(1, states - 1)) * (1 - np.eye(states)) + np.eye(states) * 0.95)
@@ -372,8 +378,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(left, right):
         row = left.to_pylist()[0]
-        tokens, lens, _, _ = _read(row)
+        tokens, lens, _, _, place = _read(row)
         train, own = _returned(right, states)
+        train, own = train[place], own[place]
         ends = np.concatenate([[0], np.cumsum(lens)])[:-1]
         base = np.add.reduceat(np.log10((train + 1) / (model.n + model.v + 1))[tokens], ends)
         known = np.add.reduceat((train > 0).astype(np.int64)[tokens], ends)
