@@ -165,3 +165,22 @@ def decode(encoded: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id",)
         return lambda ids: b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
     return _mapped(encoded, list(id_cols), ids_col, "decoded", make)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """(``id_cols``, ids, decoded) of every row: what ``encode`` and then ``decode`` give, by one pass of one worker a task."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
+
+    def each(batches):
+        encoder = _encoder(ranks.value, pattern)
+        tokens = {i: token for token, i in encoder.ranks.items()}
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                ids = [encoder.encode(t.as_py()) if t.is_valid else b"" for t in part.columns[-1]]
+                back = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(back, pa.binary())], [*id_cols, "ids", "decoded"])
+
+    kept = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in id_cols)
+    return kept.mapInArrow(each, f"{kinds}, ids binary, decoded binary")

@@ -418,3 +418,10 @@ def test_near_documents_in_a_crowd(spark):
     want = {i: c for i, c in smallest_reachable(sets, links).items() if i != c}
     for chunk_docs in (minhash.CHUNK_DOCS, 7):
         assert {r.id: r.component for r in minhash.near_documents(docs, chunk_docs=chunk_docs).collect()} == want
+
+
+def test_round_trip_equals_encoding_and_decoding(odd, none):
+    one = bpe.round_trip(odd, PATH, public_tokenizers.PATTERN).orderBy("doc_id", "ids").collect()
+    ids = bpe.encode(odd, PATH, public_tokenizers.PATTERN)
+    two = bpe.decode(ids.withColumn("packed", F.col("ids")), PATH, ("doc_id", "ids"), "packed").orderBy("doc_id", "ids").collect()
+    assert one == two and bpe.round_trip(none, PATH, public_tokenizers.PATTERN).collect() == []
