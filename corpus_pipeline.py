@@ -45,8 +45,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, exact): packed token ids, and whether they decode to the text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, ("doc_id", "source", "text"))
-    back = bpe.decode(ids.withColumn("_ids", F.col("ids")), path, ("doc_id", "source", "text", "ids"), "_ids")
+    back = bpe.round_trip(docs, path, public_tokenizers.PATTERN, ("doc_id", "source", "text"))
     return back.select("doc_id", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
 
