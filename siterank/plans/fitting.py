@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -301,21 +302,25 @@ def fit_property(spark, sf):
     return _decided(property_report(spark, sf))
 
 
-def property_report(spark, sf, fitted: dict | None = None):
-    """Held-out metrics of the five; what was fitted is put into ``fitted``. The samples are built once for all."""
-    rows, out = measured_samples(views.samples(spark, sf)).persist(), None
+def _reports(spark, samples: DataFrame, specs, fitted: list | None = None) -> list[DataFrame]:
+    """Held-out metrics of each specification; what was fitted goes to ``fitted``. The samples are built once for all."""
+    rows, out = samples.persist(), []
     try:
-        for spec in SPECS:
+        for spec in specs:
             one, report = fit(spec, rows)
-            report = spark.createDataFrame(report.collect(), report.schema)  # one row
-            out = report if out is None else out.unionByName(report)
+            out.append(spark.createDataFrame(report.collect(), report.schema))  # one row
             if fitted is not None:
-                fitted[spec.name] = one
+                fitted.append(one)
     finally:
         rows.unpersist()
     return out
 
 
+def property_report(spark, sf, fitted: list | None = None):
+    """Held-out metrics of the five properties."""
+    return reduce(DataFrame.unionByName, _reports(spark, measured_samples(views.samples(spark, sf)), SPECS, fitted))
+
+
 FOREST_SPEC = PropertySpec(
     "inertia_forest", "y_inertia", INERTIA, "log", test_size=0.3, seed=7, settings={"numTrees": 100, "maxDepth": 8},
     factory=lambda s: RandomForestRegressor(labelCol="label", featuresCol="features", seed=7, **s))
@@ -340,11 +345,8 @@ TEMP_SPECS = {
     f"SELECT 'temp' AS property, 'shift_log' AS transform, {held_out_sql('y_temp', TEMP)} AS n, true AS fits, '{e}' AS estimator" for e in TEMP_SPECS))
 def estimator_factory(spark, sf):
     """The same specification with estimators built by a caller's function."""
-    rows, out = views.samples(spark, sf).persist(), None
-    for name, spec in TEMP_SPECS.items():
-        part = _decided(fit(spec, rows)[1]).withColumn("estimator", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    reports = _reports(spark, views.samples(spark, sf), TEMP_SPECS.values())
+    return reduce(DataFrame.unionByName, (_decided(r).withColumn("estimator", F.lit(name)) for name, r in zip(TEMP_SPECS, reports)))
 
 
 def served_sql(source: str, temp: str, inertia: str, sets=None) -> str:

@@ -49,8 +49,9 @@ def test_approximate_stats_are_close(spark):
 
 def test_five_properties_are_fitted_stored_and_loaded(spark, tmp_path):
     """Full specifications with trees, nets and Fourier regression: accuracy, and equal predictions after a round trip."""
-    fitted = {}
-    reports = {r.property: r for r in fitting.property_report(spark, MID, fitted).collect()}
+    models = []
+    reports = {r.property: r for r in fitting.property_report(spark, MID, models).collect()}
+    fitted = {s.name: m for s, m in zip(SPECS, models)}
     assert [len(s.features) for s in SPECS] == [8, 6, 5, 4, 8]
     for spec in SPECS:
         row = reports[spec.name]
