@@ -34,10 +34,10 @@ PROFILE = 128  # counts of a text's word profile
 CENTRE_ROUNDS = 4
 CENTRE_TOKENS = 64  # texts that may become a centre have at least so many; if none has, any may
 MIX = 0.1
-BLOCK_TOKENS = 1_500_000  # a block ends beyond it
+BLOCK_TOKENS = 1_000_000  # a block ends beyond it
 RANGE_TOKENS = 3_000_000
 END = np.uint64(1)
-_SIDE_BY_SIDE = 1 << 19  # tokens of documents that one sweep takes
+_SIDE_BY_SIDE = 1 << 18  # tokens of documents that one sweep takes
 _PRECISION = 2.0 ** -24  # of a 32-bit float
 
 
