@@ -83,6 +83,16 @@ def test_odd_rows_and_extra_columns(spark):
     assert [bytes(r.kept) for r in sd.without_repeats(clashing, id_col="found", text_col="k1").collect()] == [b"", b""]
 
 
+@pytest.mark.parametrize("crowd", [0, 16])
+def test_equal_texts_of_different_shards(spark, crowd, monkeypatch):
+    monkeypatch.setattr(sd, "CROWD", crowd)
+    rng = random.Random(2)
+    twin, lone = ("".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(2))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(1, twin), (2, lone), (3, twin)], 3), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in sd.without_repeats(docs).collect()}
+    assert got == {1: b"", 2: lone.encode(), 3: b""}
+
+
 def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: tuple(r) for r in queries.QUERIES["op12_suffix_dedup"](spark, sf).collect()}
