@@ -15,6 +15,9 @@ from siterank.operators.ordering import attach, over_rows, with_position
 # Trials with at most this many epochs are folded in one row; longer ones in chunks.
 FOLD_EPOCHS = 10_000
 
+# Rows of long curves, about, that one call turns into maps.
+BUCKET_ROWS = 100_000
+
 
 # --- candidates ----------------------------------------------------------------------
 
@@ -160,7 +163,7 @@ def early_stop(steps: DataFrame, patience: int, min_delta: float, key: str = "tr
     first. ``step`` must be dense from 0.
     """
     sizes = steps.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    longest = sizes.agg(F.max("_n")).first()[0] or 0
+    longest, n_rows = (v or 0 for v in sizes.agg(F.max("_n"), F.sum("_n")).first())
     if longest <= fold_epochs:
         return _stop_by_fold(steps, patience, min_delta, key)
     sized = attach(steps, sizes, [key])
@@ -168,7 +171,7 @@ def early_stop(steps: DataFrame, patience: int, min_delta: float, key: str = "tr
     # chunk maps need patience rows per chunk, so this width balances both passes
     width = max(chunk or math.isqrt(longest * patience), patience)
     return _stop_by_fold(short, patience, min_delta, key).unionByName(
-        _stop_by_chunks(sized.filter(F.col("_n") > fold_epochs), patience, min_delta, key, width))
+        _stop_by_chunks(sized.filter(F.col("_n") > fold_epochs), patience, min_delta, key, width, n_rows))
 
 
 def _stop_by_fold(steps, patience, min_delta, key) -> DataFrame:
@@ -189,7 +192,7 @@ def _stop_by_fold(steps, patience, min_delta, key) -> DataFrame:
     return done.select(key, best.alias("best_step"), F.col("s.stop").alias("stop_step"))
 
 
-def _stop_by_chunks(steps, patience, min_delta, key, width) -> DataFrame:
+def _stop_by_chunks(steps, patience, min_delta, key, width, n_rows) -> DataFrame:
     """Exact walk of long curves.
 
     Each accepted epoch is followed by the next one within ``patience`` epochs or by a
@@ -206,39 +209,48 @@ def _stop_by_chunks(steps, patience, min_delta, key, width) -> DataFrame:
                         F.explode(F.filter(F.array_distinct(F.array(own, ahead)), lambda c: c >= 0)).alias("chunk"))
 
     def maps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        chunk, total = int(pdf["chunk"].iloc[0]), int(pdf["_n"].iloc[0])
-        first, loss = chunk * width, pdf["loss"].to_numpy()
-        n = min(width, len(loss))
-        following = np.full(n, -1)
+        """Many chunks at once, one behind the other; no jump leaves its chunk's rows."""
+        pdf = pdf.sort_values([key, "chunk", "step"], ignore_index=True)
+        loss, step, chunks, curves = pdf["loss"].to_numpy(), pdf["step"].to_numpy(), pdf["chunk"].to_numpy(), pd.factorize(pdf[key], use_na_sentinel=False)[0]
+        new = np.append(True, (chunks[1:] != chunks[:-1]) | (curves[1:] != curves[:-1]))
+        which, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        here = np.arange(len(pdf))
+        place, end = here - begin[which], np.append(begin[1:], len(pdf))[which]
+        own = place < width
+        following = np.full(len(pdf), -1)
         for d in range(patience, 0, -1):
-            m = min(n, len(loss) - d)
-            if m > 0:
-                better = loss[d:d + m] + min_delta < loss[:m]
-                following[:m][better] = np.nonzero(better)[0] + d
+            better = np.zeros(len(pdf), bool)
+            better[:-d] = loss[d:] + min_delta < loss[:-d]
+            better &= own & (here + d < end)
+            following[better] = here[better] + d
         # the last epoch reached within the chunk, by doubling the length of the jumps
-        ends = np.where((following >= 0) & (following < n), following, np.arange(n))
+        inside = (following >= 0) & own[following]
+        ends = np.where(inside, following, here)
         while (ends[ends] != ends).any():
             ends = ends[ends]
-        leaves = following[ends] >= n
-        onward = np.where(leaves, first + following[ends], -1)
-        best = np.where(leaves, -1, first + ends)
-        stop = np.where(~leaves & (first + ends + patience < total), first + ends + patience, -1)
-        m = 1 if chunk == 0 else min(patience, n)
-        return pd.DataFrame({key: pdf[key].iloc[:m], "entry": first + np.arange(m), "best": best[:m],
-                             "stop": stop[:m], "onward": onward[:m]})
+        leaves = following[ends] >= 0
+        late = step[ends] + patience
+        m = own & (place < np.where(chunks == 0, 1, patience))
+        return pd.DataFrame({key: pdf[key], "entry": step, "best": np.where(leaves, -1, step[ends]), "stop": np.where(~leaves & (late < pdf["_n"].to_numpy()), late, -1),
+                             "onward": np.where(leaves, step[following[ends]], -1)})[m]
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entry")
+        pdf = pdf.sort_values([key, "entry"], ignore_index=True)
         entry, onward = pdf["entry"].to_numpy(), pdf["onward"].to_numpy()
-        ends = np.where(onward >= 0, np.searchsorted(entry, onward), np.arange(len(entry)))
+        curves = pd.factorize(pdf[key], use_na_sentinel=False)[0]
+        new = np.append(True, curves[1:] != curves[:-1])
+        which, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        # places of (curve, epoch) among the sorted entries
+        span = int(max(entry.max(), onward.max())) + 1
+        ends = np.where(onward >= 0, np.searchsorted(which * span + entry, which * span + onward), np.arange(len(pdf)))
         while (ends[ends] != ends).any():
             ends = ends[ends]
-        best, stop = pdf["best"].iloc[ends[0]] - 1, pdf["stop"].iloc[ends[0]] - 1
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "best_step": [None if best < 0 else best], "stop_step": [None if stop < 0 else stop]}
-                            ).astype({"best_step": "Int64", "stop_step": "Int64"})
+        best, stop = (pd.Series(pdf[c].to_numpy()[ends[begin]] - 1).astype("Int64") for c in ("best", "stop"))
+        return pd.DataFrame({key: pdf[key].to_numpy()[begin], "best_step": best.mask(best < 0), "stop_step": stop.mask(stop < 0)})
 
-    kind = steps.schema[key].dataType.simpleString()
-    built = rows.groupBy(key, "chunk").applyInPandas(
+    # a call gets the chunks of a bucket of bounded size, not one chunk: a chunk may have a few rows only; null keys would turn others into floats
+    kind, buckets = steps.schema[key].dataType.simpleString(), max(1, n_rows // BUCKET_ROWS)
+    bucket = lambda *of: F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(*of), F.lit(buckets))).alias("_bucket")
+    built = rows.groupBy(bucket(key, "chunk")).applyInPandas(
         maps, f"{key} {kind}, entry long, best long, stop long, onward long")
-    return built.groupBy(key).applyInPandas(chain, f"{key} {kind}, best_step long, stop_step long")
+    return built.groupBy(bucket(key)).applyInPandas(chain, f"{key} {kind}, best_step long, stop_step long")

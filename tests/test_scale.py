@@ -178,3 +178,16 @@ def test_crowded_pixel_and_both_raster_plans(spark):
         x, y = int((r.lon + 180) / 360 * 2500), int((90 - r.lat) / 180 * 3)
         assert r.slope == pytest.approx(lines[y][4][x], abs=1e-6) and r.basalt is None
     assert small[-1].slope is None and small[-2].slope is None
+
+
+def test_early_stop_chunks_share_calls(spark, monkeypatch):
+    """Chunks of many curves are handled by one call, whatever their keys."""
+    monkeypatch.setattr(tuning, "BUCKET_ROWS", 400)
+    big = 1 << 60
+    keys = [None, *(big + i for i in range(60))]
+    rows = [(k, s, float((s * 7919 + (k or 5) % 101 * 31) % 97)) for k in keys for s in range(20)]
+    df = spark.createDataFrame(rows, "trial_id long, step long, val_loss double")
+    got, want = (tuning.early_stop(df, 3, 0.5, fold_epochs=n, chunk=4) for n in (10, 100))
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas [_bucket" in plan
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
