@@ -214,3 +214,16 @@ def test_serving_with_regressors_has_no_shuffle(spark, sf):
     out = predict_sites(path_free, state)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("surface_temp_xgb is null or thermal_inertia_xgb is null").count() == 0
+
+
+def test_sums_of_a_pass_do_not_depend_on_the_order_of_tasks(spark):
+    rng = np.random.default_rng(3)
+    blocks = [[(rng.normal(size=2).tolist(), float(rng.normal()), bool(i % 5 == 0)) for i in range(40 + 7 * b)] for b in range(11)]
+    state, out = NetState(Net.random(2, [8], "tanh")), []
+    for order in (range(11), range(10, -1, -1), [5, 0, 7, 3, 10, 1, 9, 2, 8, 4, 6]):
+        rdd = spark.sparkContext.union([spark.sparkContext.parallelize(blocks[b], 1) for b in order])
+        data = spark.createDataFrame(rdd, "x array<double>, t double, held boolean")
+        rows = NetRows(data, data.where("not held").count())
+        after, loss, score = run_pass(rows, {0: state, 1: state}, 0)[1]
+        out.append((after.vector().tobytes(), after.steps, loss, score))
+    assert out[0] == out[1] == out[2]
