@@ -166,3 +166,14 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
         session.shared_dir(Session())
     Session.conf.get = staticmethod(lambda name, default=None: "/shared/x/")
     assert session.shared_dir(Session()) == "/shared/x"
+
+
+def test_stream_files_and_batches_are_bounded(spark, tmp_path, monkeypatch):
+    from siterank.plans import streams
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 100)
+    path = str(tmp_path / "in")
+    assert streams._arrived(spark.range(1000).coalesce(1), path) == 5
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 10 and max(r["count"] for r in files) == 100
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 3)
+    assert streams._arrived(spark.range(1000).coalesce(1), str(tmp_path / "more")) == 3
