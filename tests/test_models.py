@@ -227,3 +227,9 @@ def test_sums_of_a_pass_do_not_depend_on_the_order_of_tasks(spark):
         after, loss, score = run_pass(rows, {0: state, 1: state}, 0)[1]
         out.append((after.vector().tobytes(), after.steps, loss, score))
     assert out[0] == out[1] == out[2]
+
+
+def test_training_tasks_have_bounded_rows(spark, sf, monkeypatch):
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    monkeypatch.setattr(fitting, "ROWS_PER_TASK", n // 20)
+    assert fitting._labelled(spark, sf)[0].rdd.getNumPartitions() >= 20
