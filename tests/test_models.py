@@ -233,3 +233,8 @@ def test_training_tasks_have_bounded_rows(spark, sf, monkeypatch):
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
     monkeypatch.setattr(fitting, "ROWS_PER_TASK", n // 20)
     assert fitting._labelled(spark, sf)[0].rdd.getNumPartitions() >= 20
+
+
+def test_fitted_serving_builds_its_samples_once(spark, sf):
+    files = fitting.predict_sites_fitted(spark, sf).inputFiles()
+    assert files and all("fitted-samples" in f for f in files)
