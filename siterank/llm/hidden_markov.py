@@ -35,7 +35,7 @@ CENTRE_ROUNDS = 4
 CENTRE_TOKENS = 64  # texts that may become a centre have at least so many; if none has, any may
 MIX = 0.1
 BLOCK_TOKENS = 1_000_000  # a block ends beyond it
-RANGE_TOKENS = 3_000_000
+RANGE_TOKENS = 2_000_000
 END = np.uint64(1)
 _SIDE_BY_SIDE = 1 << 18  # tokens of documents that one sweep takes
 _PRECISION = 2.0 ** -24  # of a 32-bit float
@@ -45,46 +45,46 @@ def sweep(ids: np.ndarray, lens: np.ndarray, emits: np.ndarray, first: np.ndarra
     """Natural log-likelihood of each sequence; with ``counts``, its expected counts are added there.
 
     Sequences lie one after another in ``ids``. Those of a sweep advance together, the longest first, so that the
-    ones still running are always the front rows.
+    ones still running are always the front rows. All that needs no order of steps is done for a whole sweep at once.
     """
     starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
     order = np.argsort(-lens, kind="stable")
     order = order[lens[order] > 0]
     out = np.zeros(len(lens))
     ends = np.cumsum(lens[order])
+    ones, back = np.ones(len(first), emits.dtype), np.ascontiguousarray(moves.T)
     lo = 0
     while lo < len(order):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _SIDE_BY_SIDE, "right")))
         own = order[lo:hi]
-        s, n = starts[own], lens[own]
+        n = lens[own]
         running = len(own) - np.searchsorted(n[::-1], np.arange(n[0]), "right")  # by step
-        like, now, kept, scales, words = np.zeros(len(own)), first, [], [], []
-        for t, k in enumerate(running.tolist()):
-            w = ids[s[:k] + t]
-            now = (now[:k] @ moves if t else now) * emits[w]
-            c = now.sum(axis=1)
-            now /= c[:, None]
-            like[:k] += np.log(c)
-            if counts is not None:
-                kept.append(now)
-                scales.append(c)
-                words.append(w)
-        out[own] = like
+        at = np.concatenate([[0], np.cumsum(running)])  # a step's rows: those of its running sequences
+        step = np.repeat(np.arange(len(running)), running)
+        row = np.arange(at[-1]) - at[step]
+        words = ids[starts[own][row] + step]
+        seen = emits[words]
+        now, scale = np.empty_like(seen), np.empty(len(seen), seen.dtype)
+        cuts, x = at.tolist(), None
+        for a, b in zip(cuts, cuts[1:]):
+            x = np.multiply(first, seen[a:b], out=now[a:b]) if x is None else np.matmul(x[:b - a], moves, out=now[a:b])
+            if a:
+                x *= seen[a:b]
+            x /= np.matmul(x, ones, out=scale[a:b])[:, None]
+        out[own] = np.bincount(row, np.log(scale), len(own))
         if counts is not None:
-            after = np.ones((running[-1], len(first)), emits.dtype)
-            pairs = np.zeros(moves.shape)
-            for t in range(len(running) - 1, -1, -1):
-                if t + 1 < len(running):
-                    k, ahead = running[t + 1], emits[words[t + 1]] * after / scales[t + 1][:, None]
-                    pairs += kept[t][:k].T @ ahead
-                    after = np.ones((running[t], len(first)), emits.dtype)
-                    after[:k] = ahead @ moves.T
-                kept[t] *= after
-            counts["first"] += kept[0].sum(axis=0)
-            counts["moves"] += pairs * moves
-            share, w = np.concatenate(kept), np.concatenate(words)
+            seen /= scale[:, None]
+            after = np.ones_like(now)
+            for a, b, c in zip(cuts[-3::-1], cuts[-2::-1], cuts[:1:-1]):
+                ahead = seen[b:c]
+                ahead *= after[b:c]
+                np.matmul(ahead, back, out=after[a:a + c - b])
+            before = at[step[cuts[1]:] - 1] + row[cuts[1]:]
+            counts["moves"] += (now[before].astype(np.float64).T @ seen[cuts[1]:].astype(np.float64)) * moves
+            now *= after
+            counts["first"] += now[:cuts[1]].sum(axis=0)
             for k in range(len(first)):
-                counts["emits"][:, k] += np.bincount(w, share[:, k], len(counts["emits"]))
+                counts["emits"][:, k] += np.bincount(words, now[:, k], len(counts["emits"]))
         lo = hi
     return out
 
@@ -276,19 +276,20 @@ def _batch(rows: list[tuple], schema: str) -> pa.Table:
 def _sums(pieces: DataFrame, states: int) -> DataFrame:
     """Totals of each range's words over all blocks, sent back to each block that holds them, in its order."""
     def total(key, table):
-        rows = table.to_pylist()
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        known, of = np.unique(np.concatenate(words), return_inverse=True)
-        train = np.bincount(of, np.concatenate([_unpack(r["train"], r["n"]) for r in rows])).astype(np.int64)
-        share = np.concatenate([_unpack_share(r["share"], r["n"], states) for r in rows])
-        share = np.stack([np.bincount(of, share[:, k]) for k in range(states)], axis=1)
+        table = table.combine_chunks()
+        blocks, sizes, paths = (table.column(c).to_pylist() for c in ("block", "n", "path"))
+        words, trains, shares = ([x.as_buffer() for x in table.column(c)] for c in ("words", "train", "share"))
+        known, of = np.unique(np.concatenate([np.frombuffer(w, np.uint64) for w in words]), return_inverse=True)
+        of, ends = of.astype(np.int32), np.cumsum([0, *sizes])
+        places = [of[a:b] for a, b in zip(ends, ends[1:])]
+        # a block holds a word once, so its counts are added where they belong; the blocks' own counts are never held together
+        train, share = np.zeros(len(known), np.int64), np.zeros((len(known), states))
+        for i, n, own_train, own_share in zip(places, sizes, trains, shares):
+            train[i] += _unpack(own_train, n)
+            share[i] += _unpack_share(own_share, n, states)
         stats = [float(train.sum()), float((train > 0).sum()), *share.sum(axis=0), *share[train == 1].sum(axis=0)]
-        path = np.sum([r["path"] for r in rows if r["path"]], axis=0).tolist() if any(r["path"] for r in rows) else None
-        out, at = [], 0
-        for r in rows:
-            i = of[at:at + r["n"]]
-            at += r["n"]
-            out.append((r["block"], key[0].as_py(), r["n"], _pack(train[i]), _pack_share(share[i]), None, None))
+        path = np.sum([p for p in paths if p], axis=0).tolist() if any(paths) else None
+        out = [(block, key[0].as_py(), n, _pack(train[i]), _pack_share(share[i]), None, None) for block, n, i in zip(blocks, sizes, places)]
         out[0] = (*out[0][:5], stats, path)
         return _batch(out, SUMS)
 

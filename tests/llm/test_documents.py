@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import linked, near_copies, no_docs, odd_docs, odd_rows, shingles, smallest_reachable, words
 from pyspark.sql import functions as F
@@ -272,6 +274,34 @@ def test_forward_is_exact():
     assert np.allclose(counts["emits"], expected) and counts["first"].sum() == pytest.approx(3) and counts["moves"].sum() == pytest.approx(lens.sum() - 3)
 
 
+class _Caught:
+    """Takes the place of a table; gives back the function of its groups."""
+
+    def groupBy(self, *_):
+        return self
+
+    def applyInArrow(self, function, _):
+        return function
+
+
+def test_sums_of_a_range_hold_no_counts_of_all_blocks_together():
+    rng, states, size, blocks = np.random.default_rng(3), 4, 20_000, 30
+    words, rows, whole = np.arange(size, dtype=np.uint64) * 7, [], np.zeros((size, states))
+    for block in range(blocks):
+        share = rng.random((size, states)).astype("<f4").astype(float)
+        whole += share
+        rows.append((0, block, size, words.tobytes(), hidden_markov._pack(np.full(size, 2)), hidden_markov._pack_share(share), None))
+    total, table = hidden_markov._sums(_Caught(), states), hidden_markov._batch(rows, hidden_markov.PIECES)
+    tracemalloc.start()
+    got = total((pa.scalar(0),), table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == blocks and np.allclose(hidden_markov._unpack_share(got[7]["share"], size, states), whole)
+    assert (hidden_markov._unpack(got[7]["total"], size) == 2 * blocks).all()
+    # words with their sorted copies and places, and the packed output; all blocks' counts by state are another 32 bytes a word, and were held twice
+    assert peak < 70 * size * blocks, peak / (size * blocks)
+
+
 def test_lm_scores(spark, odd, none):
     rows = hidden_markov.score_texts(odd, held_out=hidden_markov.fold_held_out()).collect()
     assert same_ids(rows)
