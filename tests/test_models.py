@@ -238,3 +238,25 @@ def test_training_tasks_have_bounded_rows(spark, sf, monkeypatch):
 def test_fitted_serving_builds_its_samples_once(spark, sf):
     files = fitting.predict_sites_fitted(spark, sf).inputFiles()
     assert files and all("fitted-samples" in f for f in files)
+
+
+@pytest.mark.parametrize("activation", ["relu", "tanh", "elu", "selu"])
+@pytest.mark.parametrize("units", [[16], [9, 7]])
+def test_steps_in_place_are_those_of_the_gradient(activation, units, monkeypatch):
+    """A round of 32-bit steps against Adam on the plain gradient; it needs no ``Net.gradient``, which makes new arrays in each step."""
+    from siterank.operators.net_training import outputs
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(75, 3)), rng.normal(size=75)
+    start = NetState(Net.random(3, units, activation, 1), 0.01, steps=3, first=np.full(Net.random(3, units).size, 1e-3), second=np.full(Net.random(3, units).size, 1e-2))
+    order, (flat, m, v), steps = np.random.default_rng(6).permutation(75), np.split(start.vector(), 3), start.steps
+    for lo in range(0, 75, 32):
+        some = order[lo:lo + 32]
+        grad, steps = start.net.replaced(flat).gradient(x[some], y[some])[0] / len(some), steps + 1
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        flat = flat - 0.01 * (m / (1 - 0.9 ** steps)) / (np.sqrt(v / (1 - 0.999 ** steps)) + 1e-8)
+    monkeypatch.setattr(Net, "gradient", None)
+    after = start.stepped(x, y, np.random.default_rng(6))
+    assert after.steps == steps == 6
+    for one, other in zip(np.split(after.vector(), 3), (flat, m, v)):
+        assert one == pytest.approx(other, rel=1e-3, abs=1e-5)
+    assert outputs(after.net, x) == pytest.approx(after.net.layers(x)[-1][:, 0], rel=1e-4, abs=1e-5)
